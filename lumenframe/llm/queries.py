@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import lm_score
+from lumenframe.llm import chat, lm_score, mixing, quality, warc
+from lumenframe.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.train(docs.where(~held_out)), held_out)
 
 
-QUERIES = {"op1_lm_score": op1}
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.resolve(warc.read_archives(spark, path))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.select(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "expected_grade", *(F.get("tail", F.lit(i)).alias(f"p_grade_{i + 1}") for i in range(quality.GRADES - 1)), "kept")
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).where("mix_kept")
+    return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.round("mix_weight", 6).alias("weight"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")))
+    return chat.digests(chat.read_back(chat.format_chats(chat.records_of(rows), "conv_id", "record"), "conv_id"), "conv_id")
+
+
+QUERIES = {"op1_lm_score": op1, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9}
+
+ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": warc.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}

@@ -1,8 +1,8 @@
 """Quality by ordinal regression with a cumulative link on graded ratings.
 
 P(grade <= j) = logistic(threshold_j - f(text)), with one weight vector over hashed text features for all grades and
-ordered thresholds. Features are a text's distinct words, each in two of 2^22 slots (so that a word of the training
-rows that shares one slot with another word has half its pull), and binned shares of its shape: symbols, capitals,
+ordered thresholds. Features are a text's distinct words and word beginnings, each in two of 2^22 slots (so that one
+which shares a slot with a telling word has half its pull), and binned shares of its shape: symbols, capitals,
 repetition. The model is fitted on at most most_rated rated rows, those with the smallest hashes of their ids.
 
 Edge cases: ratings that are null or whose document is missing are left out, of repeated ratings of one id the lowest
@@ -22,37 +22,48 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import WordHashes
 
 SLOTS = 1 << 22
+PREFIX, SHAPES, WORD_VALUE = 5, 6, 0.3
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Features:
-    """Slots of a text's features, two for each; a word's slots are those of its lower-cased form without symbols at its ends."""
+    """A text's slots: those of its distinct words and their first PREFIX letters, then 2 x SHAPES of its shape.
+
+    Words are lower-cased, without symbols at their ends. The slots of up to 400,000 surface forms are remembered.
+    """
 
     def __init__(self):
-        self.hashes, self.words = WordHashes(), {}
+        self.hashes, self.at, self.slots = WordHashes(), {}, np.zeros((1 << 16, 4), np.int32)
+
+    def _slots(self, feature: str) -> tuple[int, int]:
+        h = self.hashes[feature]
+        return h & (SLOTS - 1), (h >> 32) & (SLOTS - 1)
 
-    def _word(self, word: str) -> int:
-        if len(self.words) > 400_000:
-            self.words.clear()
-        value = self.words[word] = self.hashes[word.strip(EDGE).lower()]
-        return value
+    def _add(self, form: str) -> int:
+        word, i = form.strip(EDGE).lower(), len(self.at)
+        if i == len(self.slots):
+            self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
+        self.slots[i] = self._slots(word) + self._slots(word[:PREFIX] + "~")
+        self.at[form] = i
+        return i
 
     def of(self, text: str) -> np.ndarray:
         tokens = text.split()
         distinct = set(tokens)
-        found = list(map(self.words.get, distinct))
+        if len(self.at) > 400_000:
+            self.at.clear()
+        found = list(map(self.at.get, distinct))
         if None in found:
-            found = [self._word(w) if h is None else h for w, h in zip(distinct, found)]
-        h = np.unique(np.array(found, np.uint64)) if found else np.zeros(0, np.uint64)
+            found = [self._add(w) if i is None else i for w, i in zip(distinct, found)]
+        words = np.unique(self.slots[found]) if found else np.zeros(0, np.int32)
         n, chars = max(1, len(tokens)), max(1, len(text))
         symbols = sum(map(text.count, "#$%&*|!"))
         capitals = len(text) - len(text.translate(CAPITALS)) if text.isascii() else sum(map(str.isupper, text))
-        shape = [
+        shape = (
             f"symbols {_bin(symbols / chars)}", f"capitals {_bin(capitals / chars)}", f"distinct {_bin(len(distinct) / n)}",
-            f"size {int(math.log2(n + 1))}", f"repeats {_bin(_most(tokens) / n)}", f"short {_bin(sum(len(t) < 3 for t in tokens[:2000]) / min(n, 2000))}",
-        ]
-        h = np.r_[h, np.array([self.hashes[f"\0{s}"] for s in shape], np.uint64)]
-        return np.r_[h & np.uint64(SLOTS - 1), (h >> np.uint64(32)) & np.uint64(SLOTS - 1)].astype(np.int32)
+            f"size {int(math.log2(n + 1))}", f"repeats {_bin(_repeats(tokens) / n)}", f"short {_bin(sum(len(t) < 3 for t in tokens) / n)}",
+        )
+        return np.r_[words, np.array([x for s in shape for x in self._slots(f"\0{s}")], np.int32)]
 
 
 CAPITALS = {c: None for c in range(65, 91)}
@@ -62,7 +73,7 @@ def _bin(share: float) -> int:
     return int(math.log2(share * 1024 + 1) * 2)
 
 
-def _most(tokens: list[str]) -> int:
+def _repeats(tokens: list[str]) -> int:
     """How often a token follows itself."""
     return sum(map(str.__eq__, tokens, tokens[1:]))
 
@@ -71,39 +82,46 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 12, rate: float = 0.3, ridge: float = 1e-4, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Weights over the slots and n_grades - 1 ascending thresholds, by AdaGrad on the ordinal likelihood."""
-    w = np.zeros(SLOTS, np.float32)
-    shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, len(grades))
-    cuts = np.log((shares + 1e-3) / (1 - shares + 1e-3))
+def values(row: np.ndarray) -> np.ndarray:
+    out = np.full(len(row), WORD_VALUE)
+    out[-2 * SHAPES :] = 1
+    return out
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 15, rate: float = 0.5, sparsity: float = 8.0, ridge: float = 1.0, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights over the slots and n_grades - 1 ascending thresholds: the ordinal likelihood by FTRL-proximal steps.
+
+    sparsity keeps weights at 0 unless many rows pull them one way, so rare words of single rows carry none.
+    """
+    w, z, power = np.zeros(SLOTS, np.float32), np.zeros(SLOTS), np.zeros(SLOTS)
     if len(rows) == 0:
         return w, np.full(n_grades - 1, -20.0)
+    shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades)
+    cuts, cut_power = np.log((shares + 1e-3) / (1 - shares + 1e-3)), np.full(n_grades - 1, 1e-2)
     seen = np.bincount(np.concatenate(rows), minlength=SLOTS)
+    own_values = [values(r)[seen[r] >= least_rows] for r in rows]
     rows = [r[seen[r] >= least_rows] for r in rows]
-    power, cut_power, rng = np.full(SLOTS, 1e-6), np.full(n_grades - 1, 1e-2), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(order) // 64)):
-            own = [rows[i] for i in part]
-            sizes = np.array([len(r) for r in own])
-            slots = np.concatenate(own)
-            of = np.repeat(np.arange(len(own)), sizes)
-            f = np.bincount(of, w[slots], len(own))
-            y = grades[part]
+        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
+            slots, value = np.concatenate([rows[i] for i in part]), np.concatenate([own_values[i] for i in part])
+            of, y = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part]), grades[part]
+            f = np.bincount(of, w[slots] * value, len(part))
             edges = np.r_[-np.inf, cuts, np.inf]
-            hi, lo = sigmoid(edges[y + 1] - f), sigmoid(edges[y] - f)
-            hi, lo = np.where(y + 1 == n_grades, 1.0, hi), np.where(y == 0, 0.0, lo)
-            p = np.maximum(hi - lo, 1e-9)
-            slope_hi, slope_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-            pull = slope_hi - slope_lo  # of -log p by f
+            high = np.where(y + 1 == n_grades, 1.0, sigmoid(edges[y + 1] - f))
+            low = np.where(y == 0, 0.0, sigmoid(edges[y] - f))
+            p = np.maximum(high - low, 1e-9)
+            slope_high, slope_low = high * (1 - high) / p, low * (1 - low) / p
             at, inverse = np.unique(slots, return_inverse=True)
-            g = np.bincount(inverse, pull[of]) / 8 + ridge * w[at]
+            g = np.bincount(inverse, (slope_high - slope_low)[of] * value, len(at))
+            z[at] += g - (np.sqrt(power[at] + g * g) - np.sqrt(power[at])) / rate * w[at]
             power[at] += g * g
-            w[at] -= (rate * g / np.sqrt(power[at] + 1e-2)).astype(np.float32)
+            pull = np.abs(z[at]) - sparsity
+            w[at] = np.where(pull <= 0, 0, -np.sign(z[at]) * pull / ((1 + np.sqrt(power[at])) / rate + ridge))
             for j in range(n_grades - 1):
-                g = slope_lo[y == j + 1].sum() / 64 - slope_hi[y == j].sum() / 64
+                g = slope_low[y == j + 1].sum() - slope_high[y == j].sum()
                 cut_power[j] += g * g
-                cuts[j] -= rate * 0.3 * g / math.sqrt(cut_power[j])
+                cuts[j] -= 0.3 * g / math.sqrt(cut_power[j])
             cuts = np.maximum.accumulate(cuts + np.arange(len(cuts)) * 1e-6)
     return w, cuts
 
@@ -136,7 +154,8 @@ def rate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "tex
     def run(batches):
         features, w = Features(), shared.value
         for batch in batches:
-            f = np.array([w[features.of(x or "")].sum(dtype=np.float64) for x in batch.column(text).to_pylist()])
+            slots = [features.of(x or "") for x in batch.column(text).to_pylist()]
+            f = np.array([w[s].astype(np.float64) @ values(s) for s in slots])
             tail = 1 - sigmoid(cuts[None, :] - f[:, None])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(tail.sum(1)), pa.array(list(tail), pa.list_(pa.float64()))], [*names, "expected_grade", "tail"])
 

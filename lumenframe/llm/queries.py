@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, lm_score, mixing, quality, warc
+from lumenframe.llm import chat, decontaminate, html, lm_score, mixing, quality, warc
 from lumenframe.llm.common import new_path
 
 
@@ -19,6 +19,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.train(docs.where(~held_out)), held_out)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -42,6 +46,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_chats(chat.records_of(rows), "conv_id", "record"), "conv_id"), "conv_id")
 
 
-QUERIES = {"op1_lm_score": op1, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9}
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10}
 
 ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": warc.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}

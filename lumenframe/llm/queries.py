@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, decontaminate, html, lm_score, mixing, quality, warc
+from lumenframe.llm import chat, decontaminate, html, lm_score, mixing, quality, topk, warc
 from lumenframe.llm.common import new_path
 
 
@@ -23,6 +23,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select("vec_id", topk.scaled(F.col("embedding")).alias("embedding"))
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -50,6 +55,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10}
+QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op4_topk_search": op4, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10}
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_revisits": warc.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_topk_search": topk.ORACLE, "op5_warc_revisits": warc.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, decontaminate, html, lm_score, mixing, quality, topk, warc
+from lumenframe.llm import chat, decontaminate, html, lm_score, mixing, near_dup, quality, topk, warc
 from lumenframe.llm.common import new_path
 
 
@@ -23,6 +23,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select("vec_id", topk.scaled(F.col("embedding")).alias("embedding"))
     return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -40,7 +44,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents")).where("mix_kept")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id", "source", "lang"]).where("mix_kept")
     return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.round("mix_weight", 6).alias("weight"))
 
 
@@ -55,6 +59,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op4_topk_search": op4, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10}
+QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op3_near_dup": op3, "op4_topk_search": op4, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10}
 
 ORACLE_SQL: dict[str, str] = {"op4_topk_search": topk.ORACLE, "op5_warc_revisits": warc.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}

@@ -6,16 +6,21 @@ of a cell is then kept with the cell's probability, by a hash of its id.
 Edge cases: a null source or language is the value "(none)"; a text without a known marker has topic "none"; a null or
 empty text has no tokens and weight as its cell; a null doc_id hashes as the empty string; repeated rows share one
 draw; target values that no document has are left out and the other targets scaled up; a cell whose documents have no
-tokens keeps weight 1; an empty table gives an empty result.
+tokens keeps weight 1; an empty table gives an empty result; columns that
+begin with mix_ are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lumenframe.llm.common import stored
 
@@ -26,19 +31,25 @@ TARGETS = {"source": "even", "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1
 ROUNDS, KEEP = 12, 0.5
 
 
-def topic(text: Column, topics: Mapping[str, tuple[str, ...]] = TOPICS) -> Column:
+def topic_of(text: bytes, topics: Mapping[str, tuple[str, ...]] = TOPICS) -> str:
     """The topic whose markers cover the most characters of the text; the first of equals, "none" without any."""
-    text = F.coalesce(text, F.lit(""))
-    covered = {name: sum((F.length(text) - F.length(F.replace(text, F.lit(m), F.lit(""))) for m in markers), F.lit(0)) for name, markers in topics.items()}
-    most = F.greatest(*covered.values()) if len(covered) > 1 else next(iter(covered.values()))
-    out = F.when(most == 0, "none")
-    for name, n in covered.items():
-        out = out.when(n == most, name)
-    return out
+    covered = [sum(text.count(m.encode()) * len(m) for m in markers) for markers in topics.values()]
+    most = max(covered, default=0)
+    return list(topics)[covered.index(most)] if most else "none"
 
 
-def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
+def marked(docs: DataFrame, topics: Mapping, carry: list[str], text: str = "text") -> DataFrame:
+    """The columns carry of docs, mix_topic, and mix_tokens: the runs without ASCII white space in the text."""
+    fields = [f for f in docs.schema.fields if f.name in carry]
+
+    def run(batches):
+        for batch in batches:
+            texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
+            own = [batch.column(f.name) for f in fields]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([topic_of(x, topics) for x in texts], pa.string()), pa.array([len(x.split()) for x in texts], pa.int64())], [*(f.name for f in fields), "mix_topic", "mix_tokens"])
+
+    schema = StructType([*fields, StructField("mix_topic", StringType()), StructField("mix_tokens", LongType())])
+    return docs.select(*dict.fromkeys([*(f.name for f in fields), text])).mapInArrow(run, schema)
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -109,31 +120,31 @@ def rake_frame(cells: DataFrame, targets: Mapping, rounds: int) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 8, topics: Mapping = TOPICS, most_cells: int = 100_000, doc_id: str = "doc_id") -> DataFrame:
-    """docs with the columns mix_topic, mix_tokens, mix_probability, mix_weight and mix_kept; no row is dropped.
+def mix(docs: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 8, topics: Mapping = TOPICS, most_cells: int = 100_000, doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """docs (or its columns carry) with mix_topic, mix_tokens, mix_probability, mix_weight and mix_kept; no row is dropped.
 
     mix_probability is min(1, keep x raked weight); the sampled documents, counted with mix_weight, have the target
     marginals. Up to most_cells cells are raked in the driver and broadcast; beyond that both happen on the cluster.
     """
     spark = docs.sparkSession
     dims = list(targets)
-    cell = {d: F.coalesce(F.col(d), F.lit(NONE)) if d != "topic" else topic(F.col("text"), topics) for d in dims}
-    marked = docs.withColumns({f"mix_{d}": c for d, c in cell.items()} | {"mix_tokens": tokens(F.col("text"))})
-    cells = marked.groupBy(*(F.col(f"mix_{d}").alias(d) for d in dims)).agg(F.sum("mix_tokens").alias("tokens"))
+    columns = [d for d in dims if d != "topic"]
+    carry = [c for c in (carry or docs.columns) if not c.startswith("mix_")]
+    cell = {d: F.coalesce(F.col(d), F.lit(NONE)) if d != "topic" else F.col("mix_topic") for d in dims}
+    cells = marked(docs, topics, columns).groupBy(*(c.alias(d) for d, c in cell.items())).agg(F.sum("mix_tokens").alias("tokens"))
     some = cells.limit(most_cells + 1).collect()
     if len(some) <= most_cells:
         rows = sorted((r.asDict() for r in some), key=lambda r: tuple(r[d] for d in dims))
-        raked = spark.createDataFrame([(*(r[d] for d in dims), float(w)) for r, w in zip(rows, rake(rows, targets, rounds))], ", ".join(f"mix_{d} string" for d in dims) + ", w double")
+        raked = spark.createDataFrame([(*(r[d] for d in dims), float(w)) for r, w in zip(rows, rake(rows, targets, rounds))], ", ".join(f"_{d} string" for d in dims) + ", _w double")
         raked = F.broadcast(raked)
     else:
-        raked = rake_frame(cells, targets, rounds).select(*(F.col(d).alias(f"mix_{d}") for d in dims), "w")
-    out = marked.join(raked, [f"mix_{d}" for d in dims])
-    p = F.least(F.lit(1.0), F.lit(keep) * F.col("w"))
-    if "topic" not in dims:
-        out = out.withColumn("mix_topic", topic(F.col("text"), topics))
-    return out.withColumns({"mix_probability": p, "mix_weight": F.when(F.col("w") > 0, F.lit(keep) * F.col("w") / p).otherwise(0.0), "mix_kept": uniform(F.col(doc_id), seed) < p}).select(
-        *docs.columns, "mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_kept"
-    )
+        raked = rake_frame(cells, targets, rounds).select(*(F.col(d).alias(f"_{d}") for d in dims), F.col("w").alias("_w"))
+    out = marked(docs, topics, list(dict.fromkeys([*carry, *columns, doc_id])))
+    same = [c == F.col(f"_{d}") for d, c in cell.items()]
+    out = out.join(raked, reduce(and_, same))
+    p = F.least(F.lit(1.0), F.lit(keep) * F.col("_w"))
+    out = out.withColumns({"mix_probability": p, "mix_weight": F.when(F.col("_w") > 0, F.lit(keep) * F.col("_w") / p).otherwise(0.0), "mix_kept": uniform(F.col(doc_id), seed) < p})
+    return out.select(*carry, "mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_kept")
 
 
 def oracle(source: str = "documents", targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 8, topics: Mapping = TOPICS) -> str:
@@ -143,7 +154,7 @@ def oracle(source: str = "documents", targets: Mapping = TARGETS, keep: float =
     cases = " ".join(f"WHEN c_{n} = greatest({', '.join(f'c_{k}' for k in covered)}) THEN {quote(n)}" for n in covered)
     out = [
         f"a AS MATERIALIZED (SELECT *, coalesce(text, '') AS t FROM {source})",
-        f"b AS MATERIALIZED (SELECT * EXCLUDE (t), coalesce(source, '{NONE}') AS d_source, coalesce(lang, '{NONE}') AS d_lang, len(regexp_extract_all(t, '[^ \\t\\n\\r]+')) AS mix_tokens, {', '.join(f'{e} AS c_{n}' for n, e in covered.items())} FROM a)",
+        f"b AS MATERIALIZED (SELECT * EXCLUDE (t), coalesce(source, '{NONE}') AS d_source, coalesce(lang, '{NONE}') AS d_lang, len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\v]+')) AS mix_tokens, {', '.join(f'{e} AS c_{n}' for n, e in covered.items())} FROM a)",
         f"marked AS MATERIALIZED (SELECT * EXCLUDE ({', '.join(f'c_{n}' for n in covered)}), CASE WHEN greatest({', '.join(f'c_{n}' for n in covered)}) = 0 THEN 'none' {cases} END AS d_topic FROM b)",
         "w0 AS MATERIALIZED (SELECT d_source, d_lang, d_topic, sum(mix_tokens)::DOUBLE AS n, 1.0::DOUBLE AS w FROM marked GROUP BY ALL)",
         "total AS MATERIALIZED (SELECT sum(n) AS total FROM w0)",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, decontaminate, html, lm_score, mixing, near_dup, quality, topk, warc
+import corpus_pipeline
+from lumenframe.llm import chat, decontaminate, html, licenses, lm_score, mixing, near_dup, quality, topk, warc
 from lumenframe.llm.common import new_path
 
 
@@ -38,6 +39,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.read_archives(spark, path))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.select(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "expected_grade", *(F.get("tail", F.lit(i)).alias(f"p_grade_{i + 1}") for i in range(quality.GRADES - 1)), "kept")
@@ -59,6 +64,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op3_near_dup": op3, "op4_topk_search": op4, "op5_warc_revisits": op5, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10}
+QUERIES = {"op1_lm_score": op1, "op2_html_text": op2, "op3_near_dup": op3, "op4_topk_search": op4, "op5_warc_revisits": op5, "op6_license_scan": op6, "op7_ordinal_quality": op7, "op8_source_mix": op8, "op9_chat_format": op9, "op10_decontaminate": op10, "pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {"op4_topk_search": topk.ORACLE, "op5_warc_revisits": warc.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}

@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,38 +83,50 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def values(row: np.ndarray) -> np.ndarray:
-    out = np.full(len(row), WORD_VALUE)
+def values(n: int) -> np.ndarray:
+    """The value of each of a row's n features: the last ones are of its shape."""
+    out = np.full(n, WORD_VALUE, np.float32)
     out[-2 * SHAPES :] = 1
     return out
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 15, rate: float = 0.5, sparsity: float = 8.0, ridge: float = 1.0, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit(slots: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 15, rate: float = 0.5, sparsity: float = 8.0, ridge: float = 1.0, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights over the slots and n_grades - 1 ascending thresholds: the ordinal likelihood by FTRL-proximal steps.
 
-    sparsity keeps weights at 0 unless many rows pull them one way, so rare words of single rows carry none.
+    slots holds the rows' features end to end, sizes how many each row has. sparsity keeps weights at 0 unless many
+    rows pull them one way, so rare words of single rows carry none.
     """
-    w, z, power = np.zeros(SLOTS, np.float32), np.zeros(SLOTS), np.zeros(SLOTS)
-    if len(rows) == 0:
+    w = np.zeros(SLOTS, np.float32)
+    if len(sizes) == 0:
         return w, np.full(n_grades - 1, -20.0)
+    z, power = np.zeros(SLOTS), np.zeros(SLOTS)
     shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades)
     cuts, cut_power = np.log((shares + 1e-3) / (1 - shares + 1e-3)), np.full(n_grades - 1, 1e-2)
-    seen = np.bincount(np.concatenate(rows), minlength=SLOTS)
-    own_values = [values(r)[seen[r] >= least_rows] for r in rows]
-    rows = [r[seen[r] >= least_rows] for r in rows]
+    seen = np.zeros(SLOTS, np.int32)
+    for at in range(0, len(slots), 1 << 20):
+        found, n = np.unique(slots[at : at + (1 << 20)], return_counts=True)
+        seen[found] += n.astype(np.int32)
+    keep = seen[slots] >= least_rows
+    value = np.full(len(slots), WORD_VALUE, np.float32)
+    ends = np.cumsum(sizes)
+    for k in range(1, 2 * SHAPES + 1):
+        value[ends - k] = 1
+    value, slots = value[keep], slots[keep]
+    kept = np.r_[0, np.cumsum(keep, dtype=np.int32)[ends - 1]]
+    del keep, seen
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
-            slots, value = np.concatenate([rows[i] for i in part]), np.concatenate([own_values[i] for i in part])
-            of, y = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part]), grades[part]
-            f = np.bincount(of, w[slots] * value, len(part))
+        for part in np.array_split(rng.permutation(len(sizes)), max(1, len(sizes) // 32)):
+            own, v = (np.concatenate([x[kept[i] : kept[i + 1]] for i in part]) for x in (slots, value))
+            of, y = np.repeat(np.arange(len(part)), kept[part + 1] - kept[part]), grades[part]
+            f = np.bincount(of, w[own] * v, len(part))
             edges = np.r_[-np.inf, cuts, np.inf]
             high = np.where(y + 1 == n_grades, 1.0, sigmoid(edges[y + 1] - f))
             low = np.where(y == 0, 0.0, sigmoid(edges[y] - f))
             p = np.maximum(high - low, 1e-9)
             slope_high, slope_low = high * (1 - high) / p, low * (1 - low) / p
-            at, inverse = np.unique(slots, return_inverse=True)
-            g = np.bincount(inverse, (slope_high - slope_low)[of] * value, len(at))
+            at, inverse = np.unique(own, return_inverse=True)
+            g = np.bincount(inverse, (slope_high - slope_low)[of] * v, len(at))
             z[at] += g - (np.sqrt(power[at] + g * g) - np.sqrt(power[at])) / rate * w[at]
             power[at] += g * g
             pull = np.abs(z[at]) - sparsity
@@ -138,9 +151,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade, n_grades: int, doc_id: str
             rows = [features.of(x).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "grade": batch.column("grade"), "slots": pa.array(rows, pa.binary())})
 
-    got = own.select("doc_id", "text", "grade").mapInArrow(run, "id long, grade int, slots binary").toArrow().sort_by([("id", "ascending"), ("slots", "ascending")])
-    rows = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
-    return fit(rows, np.array(got.column("grade").to_pylist(), np.int64), n_grades)
+    got = own.select("doc_id", "text", "grade").mapInArrow(run, "id long, grade int, slots binary").orderBy("id", "slots").toArrow()
+    found = got.column("slots").combine_chunks()
+    sizes = np.array(pc.binary_length(found).to_numpy(zero_copy_only=False), np.int64) // 4
+    return fit(np.frombuffer(found.buffers()[2] or b"", np.int32)[: sizes.sum()], sizes, np.array(got.column("grade").to_pylist(), np.int64), n_grades)
 
 
 def rate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
@@ -155,7 +169,7 @@ def rate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "tex
         features, w = Features(), shared.value
         for batch in batches:
             slots = [features.of(x or "") for x in batch.column(text).to_pylist()]
-            f = np.array([w[s].astype(np.float64) @ values(s) for s in slots])
+            f = np.array([w[s].astype(np.float64) @ values(len(s)) for s in slots])
             tail = 1 - sigmoid(cuts[None, :] - f[:, None])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(tail.sum(1)), pa.array(list(tail), pa.list_(pa.float64()))], [*names, "expected_grade", "tail"])
 

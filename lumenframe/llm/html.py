@@ -147,7 +147,8 @@ def extract_text(page: str, cost: dict[str, float]) -> str:
 def train(pages: DataFrame, page_id: str = "page_id", page: str = "html", most_labelled: int = 2_000) -> dict[str, float]:
     """weights() of the labelled pages."""
     labelled = pages.select(F.col(page_id).alias("id"), F.col(page).alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
-    labelled = labelled.orderBy(F.xxhash64("id"), "id").select("html").limit(most_labelled)
+    chosen = labelled.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+    labelled = labelled.join(F.broadcast(chosen), "id").select("html")
 
     def run(batches):
         inside, outside = Counter(), Counter()

@@ -40,7 +40,7 @@ def bring(c: np.ndarray, n: int, mode: str) -> np.ndarray:
     if mode == "mirror":
         c = np.mod(c, 2 * (n - 1))
         return np.where(c > n - 1, 2 * (n - 1) - c, c)
-    return np.mod(c, n - 1)
+    return np.where((c < 0) | (c > n - 1), np.mod(c, n - 1), c)  # the ends count as one voxel
 
 
 # Poles of the interpolating B-splines of order 2 to 5.
@@ -65,7 +65,7 @@ def coefficients(a: np.ndarray, order: int, mode: str) -> np.ndarray:
     out = np.asarray(a, np.float64)
     if order < 2:
         return out
-    rule = mode if mode in ("reflect", "wrap") else "mirror"
+    rule = "reflect" if mode == "reflect" else "mirror"
     taps = np.arange(-(order // 2), order // 2 + 1)
     weight = basis(order, taps.astype(float))
     for axis, n in enumerate(out.shape):
@@ -97,7 +97,7 @@ def sample(a: np.ndarray, coords: list[np.ndarray], order: int = 1, mode: str =
         taps = []
         for k in range(-(order // 2), order // 2 + 1 + order % 2) if order else (0,):
             at = first + k
-            taps.append((fold(at, n, mode), basis(order, c - at) if order > 1 else 1 - np.abs(c - at) if order else None))
+            taps.append((fold(at, n, "mirror" if mode == "wrap" else mode), basis(order, c - at) if order > 1 else 1 - np.abs(c - at) if order else None))
         parts.append(taps)
     flat, strides = np.ascontiguousarray(source).ravel(), np.cumprod([1, *a.shape[::-1]])[:-1][::-1]
     if order == 0:

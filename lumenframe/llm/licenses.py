@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, CONFIRMED, UNKNOWN = 0.5, 0.6, "unknown"
+LEAST, CONFIRMED, UNKNOWN = 0.5, 0.7, "unknown"
 # Short notices by licence family.
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),

@@ -95,10 +95,14 @@ class Items:
             if not size:
                 self.windows.append(0)
                 continue
-            literal = np.convolve(kind == LITERAL, np.ones(size), "valid") >= least_literal * size
-            self.windows.append(int(literal.sum()))
-            for at in np.flatnonzero(literal):
+            literal = np.convolve(kind == LITERAL, np.ones(size), "valid")
+            self.windows.append(int((literal >= least_literal * size).sum()))
+            for at in np.flatnonzero(literal >= least_literal * size):
                 found[size].append((int(windows(template[at : at + size], size)[0]), i, int(at)))
+            if kind[0] == LITERAL and values[0] & CAPITAL and literal[0] - 1 >= least_literal * size:
+                # inside a document's sentence, the item's first word looks like a name
+                other = np.r_[SLOT_HASH[NAME], template[1:size]]
+                found[size].append((int(windows(other, size)[0]), i, 0))
         self.by_width = {}
         for size, rows in found.items():
             at = defaultdict(list)

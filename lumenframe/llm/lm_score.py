@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 Training counts every run of order+1 bytes of all training texts, and every word of them. The trie of byte contexts
-keeps the runs with at least the share min_share of all positions, so it has at most 1/min_share nodes a level,
-whatever the corpus; what it does not keep stays in the escape mass of its context, so each context's probabilities
+keeps the runs with at least the share min_share of all positions (and least_count occurrences), so it has at most
+1/min_share nodes a level, whatever the corpus; what it does not keep stays in the escape mass of its context, so each context's probabilities
 still add up to 1. Escapes are estimated as in PPM method C, with exclusion of the symbols seen in longer contexts.
 
 Edge cases: a null text counts as empty, and an empty text is scored as its end mark alone; a null doc_id is training
@@ -232,16 +232,17 @@ def _score(model, hot, order: int, base: float):
     return run
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 6, min_share: float = 3e-7) -> tuple[Model, DataFrame, int, int]:
+def train(docs: DataFrame, text: str = "text", order: int = 6, min_share: float = 3e-7, least_count: int = 6) -> tuple[Model, DataFrame, int, int]:
     """The model of all texts of docs; the word counts (word, n) with the end token as a line break; N and V.
 
-    min_share is the model's resolution: the share of all positions that a run of bytes needs to become a node.
+    min_share is the model's resolution: the share of all positions that a run of bytes needs to become a node;
+    least_count is how often it has to occur at least, as rarer runs do not tell what follows.
     """
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, 600_000, 6_000_000), "word string, code long, n long")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, 400_000, 4_000_000), "word string, code long, n long")
     found = stored(found.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
     words, runs = found.where("word is not null").select("word", "n"), found.where("code is not null").select("code", "n")
     total = runs.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(min_share * total))
+    least = max(least_count, math.ceil(min_share * total))
     level, levels = runs, {order: runs}
     for k in range(order - 1, -1, -1):
         level = level.groupBy(F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("code")).agg(F.sum("n").alias("n"))

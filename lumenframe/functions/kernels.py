@@ -6,7 +6,6 @@ Edges: reflect (d c b a | a b c d | d c b a), mirror (d c b | a b c d | c b a),
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 
@@ -80,38 +79,69 @@ def coefficients(a: np.ndarray, order: int, mode: str) -> np.ndarray:
     return out
 
 
+SLAB = 1 << 15  # coordinates at a time, so that what is made of them stays in the cache
+
+
 def sample(a: np.ndarray, coords: list[np.ndarray], order: int = 1, mode: str = "constant", cval: float = 0.0) -> np.ndarray:
     """Values of the spline through a at coords, one array of coordinates for each axis."""
     pad = 12 if order > 1 and mode == "nearest" else 0
+    source = coefficients(np.pad(a, pad, mode="edge") if pad else a, order, mode) if order > 1 else a
+    flat = np.ascontiguousarray(source).reshape(-1)
+    shape, coords = coords[0].shape, [c.reshape(-1) for c in coords]
+    out = np.empty(len(coords[0]), flat.dtype if order == 0 else np.float64)
+    for at in range(0, len(out), SLAB):
+        out[at : at + SLAB] = _sample(flat, source.shape, a.shape, [c[at : at + SLAB] for c in coords], order, mode, cval, pad)
+    return out.reshape(shape)
+
+
+def _sample(flat: np.ndarray, size: tuple, shape: tuple, coords: list[np.ndarray], order: int, mode: str, cval: float, pad: int) -> np.ndarray:
     inside = np.ones(coords[0].shape, bool)
     if mode == "constant":
-        for c, n in zip(coords, a.shape):
+        for c, n in zip(coords, shape):
             inside &= (c >= 0) & (c <= n - 1)
     if pad:
-        coords, a = [bring(c, n, mode) + pad for c, n in zip(coords, a.shape)], np.pad(a, pad, mode="edge")
-    source = coefficients(a, order, mode) if order > 1 else a
-    parts = []
-    for c, n in zip(coords, a.shape):
+        coords = [bring(c, n, mode) + pad for c, n in zip(coords, shape)]
+    parts, step = [], len(flat)
+    for c, n in zip(coords, size):
+        step //= n
         c = c if pad else bring(c, n, mode)
-        first = np.floor(c + 0.5).astype(np.int64) if order % 2 == 0 else np.floor(c).astype(np.int64)
+        first = np.floor(c + 0.5 if order % 2 == 0 else c).astype(np.int64)
         taps = []
         for k in range(-(order // 2), order // 2 + 1 + order % 2) if order else (0,):
             at = first + k
-            taps.append((fold(at, n, "mirror" if mode == "wrap" else mode), basis(order, c - at) if order > 1 else 1 - np.abs(c - at) if order else None))
+            weight = basis(order, c - at) if order > 1 else 1 - np.abs(c - at) if order else None
+            taps.append((fold(at, n, "mirror" if mode == "wrap" else mode) * step, weight))
         parts.append(taps)
-    flat, strides = np.ascontiguousarray(source).ravel(), np.cumprod([1, *a.shape[::-1]])[:-1][::-1]
     if order == 0:
-        out = flat[sum(int(s) * taps[0][0] for s, taps in zip(strides, parts))]
+        out = flat[sum(taps[0][0] for taps in parts)]
         return np.where(inside, out, np.asarray(cval, out.dtype)) if mode == "constant" else out
-    out = np.zeros(coords[0].shape)
-    for taps in product(*parts):
-        w = taps[0][1]
-        for _, more in taps[1:]:
-            w = w * more
-        out += w * flat[sum(int(s) * i for s, (i, _) in zip(strides, taps))]
+
+    def total(axis, at, weight):
+        """The sum over the taps of the axes from axis on, for the position and weight of the axes before."""
+        if axis == len(parts):
+            return flat[at] if weight is None else weight * flat[at]
+        out = 0
+        for i, w in parts[axis]:
+            out = out + total(axis + 1, i if at is None else at + i, w if weight is None else weight * w)
+        return out
+
+    out = total(0, None, None)
     return np.where(inside, out, cval) if mode == "constant" else out
 
 
+def sample_planes(planes: np.ndarray, coords: list[np.ndarray], mode: str) -> np.ndarray:
+    """Linear sample() of each plane at the same coordinates."""
+    (h, w), flat = planes.shape[1:], planes.reshape(len(planes), -1)
+    y, x = bring(coords[0], h, mode), bring(coords[1], w, mode)
+    top, left = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+    out = np.zeros((len(planes), y.size))
+    for dy, wy in ((0, 1 - (y - top)), (1, y - top)):
+        for dx, wx in ((0, 1 - (x - left)), (1, x - left)):
+            at = fold(top + dy, h, mode) * w + fold(left + dx, w, mode)
+            out += (wy * wx).ravel() * np.take(flat, at.ravel(), 1)
+    return out.reshape(len(planes), *y.shape)
+
+
 def along(a: np.ndarray, axis: int, coords: np.ndarray, order: int, mode: str, cval: float = 0.0) -> np.ndarray:
     """sample() where only one axis is resampled, at the same coordinates for all lines."""
     n = a.shape[axis]
@@ -171,7 +201,7 @@ def filtered(a: np.ndarray, weights: np.ndarray, axis: int, mode: str = "reflect
     """Correlation along one axis. Wide filters use a table of each output's weights by input."""
     n, radius = a.shape[axis], len(weights) // 2
     moved = np.moveaxis(a, axis, 0)
-    if 2 * radius + 1 > n // 2 or n <= 64:
+    if 24 * len(weights) > n or n <= 64:  # products of matrices are fast
         table = np.zeros((n, n))
         rows = np.arange(n)
         for k, w in zip(range(-radius, radius + 1), weights):

@@ -156,7 +156,9 @@ def HistogramMatch(v, d, reference=None, blend=1.0, n_quantiles=256):
     at = np.linspace(0, 1, n_quantiles)
     found = np.quantile(np.asarray(reference, float).ravel(), at)
     values = v.values
-    ordered = np.sort(values, axis=None)
-    place = np.searchsorted(ordered, values.ravel(), "right") / values.size
+    order = np.argsort(values, axis=None)
+    ordered = values.ravel()[order]
+    matched = np.empty(values.size)
+    matched[order] = np.interp(np.searchsorted(ordered, ordered, "right") / values.size, at, found)
     share = d.uniform("blend", blend)
-    return v.having(image=like((1 - share) * values + share * np.interp(place, at, found).reshape(v.shape), v.image))
+    return v.having(image=like((1 - share) * values + share * matched.reshape(v.shape), v.image))

@@ -53,10 +53,8 @@ def MRIMotion(v, d, degrees=(1.0, 5.0), translation=(1.0, 4.0), num_movements=(1
         dy, dx = d.uniform(f"dy{k}", translation), d.uniform(f"dx{k}", translation)
         y, x = np.meshgrid(np.arange(h) - (h - 1) / 2, np.arange(w) - (w - 1) / 2, indexing="ij")
         turned = [np.cos(angle) * y + np.sin(angle) * x + (h - 1) / 2, -np.sin(angle) * y + np.cos(angle) * x + (w - 1) / 2]
-        for z, plane in enumerate(planes):
-            moved = kernels.sample(plane, turned, 1, "reflect")
-            moved = kernels.along(kernels.along(moved, 0, np.arange(h) - dy, 1, "reflect"), 1, np.arange(w) - dx, 1, "reflect")
-            total.reshape(-1, h, w)[z] += moved
+        moved = kernels.sample_planes(planes, turned, "reflect")
+        total += kernels.along(kernels.along(moved, 1, np.arange(h) - dy, 1, "reflect"), 2, np.arange(w) - dx, 1, "reflect").reshape(v.shape)
     return v.having(image=like(total / (n + 1), v.image))
 
 

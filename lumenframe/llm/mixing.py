@@ -135,15 +135,15 @@ def mix(docs: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP, rounds:
     some = cells.limit(most_cells + 1).collect()
     if len(some) <= most_cells:
         rows = sorted((r.asDict() for r in some), key=lambda r: tuple(r[d] for d in dims))
-        raked = spark.createDataFrame([(*(r[d] for d in dims), float(w)) for r, w in zip(rows, rake(rows, targets, rounds))], ", ".join(f"_{d} string" for d in dims) + ", _w double")
+        raked = spark.createDataFrame([(*(r[d] for d in dims), float(w)) for r, w in zip(rows, rake(rows, targets, rounds))], ", ".join(f"mix__{d} string" for d in dims) + ", mix__w double")
         raked = F.broadcast(raked)
     else:
-        raked = rake_frame(cells, targets, rounds).select(*(F.col(d).alias(f"_{d}") for d in dims), F.col("w").alias("_w"))
+        raked = rake_frame(cells, targets, rounds).select(*(F.col(d).alias(f"mix__{d}") for d in dims), F.col("w").alias("mix__w"))
     out = marked(docs, topics, list(dict.fromkeys([*carry, *columns, doc_id])))
-    same = [c == F.col(f"_{d}") for d, c in cell.items()]
+    same = [c == F.col(f"mix__{d}") for d, c in cell.items()]
     out = out.join(raked, reduce(and_, same))
-    p = F.least(F.lit(1.0), F.lit(keep) * F.col("_w"))
-    out = out.withColumns({"mix_probability": p, "mix_weight": F.when(F.col("_w") > 0, F.lit(keep) * F.col("_w") / p).otherwise(0.0), "mix_kept": uniform(F.col(doc_id), seed) < p})
+    p = F.least(F.lit(1.0), F.lit(keep) * F.col("mix__w"))
+    out = out.withColumns({"mix_probability": p, "mix_weight": F.when(F.col("mix__w") > 0, F.lit(keep) * F.col("mix__w") / p).otherwise(0.0), "mix_kept": uniform(F.col(doc_id), seed) < p})
     return out.select(*carry, "mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_kept")
 
 

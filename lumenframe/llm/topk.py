@@ -6,9 +6,10 @@ block has, for every dimension, its members sorted by value. For a query the lis
 the bound, the sum of the products at the current depths, cannot beat the k-th best score, nor tie with it. Each pair
 gives k rows a query at most; a second step merges them.
 
-Edge cases: vectors that are null, hold null or non-finite components, or have another number of components than most
-vectors of their block take no part (see usable()); ties go to the smaller id; fewer candidates than k give all; rows
-that repeat an id are separate candidates, and no row with the query's own id is a candidate; null ids take no part.
+Edge cases: vectors that are null or hold null components take no part, nor, after usable(), those with non-finite ones;
+vectors meet those of their own length only; ties go to the smaller id; fewer candidates than k give all; rows
+that repeat an id are separate candidates, and separate queries whose results are ranked together; no row with the
+query's own id is a candidate; null ids take no part.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.llm.common import stored
+
 BLOCK, QUERY_BLOCK, STEP = 16_384, 1_024, 32
 
 
@@ -39,7 +42,8 @@ def _pack(size: int):
 
         def block(d):
             ids, values = (np.concatenate(x) for x in zip(*held.pop(d)))
-            return pa.RecordBatch.from_pydict({"dims": pa.array([d], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "components": pa.array([values.tobytes()], pa.binary())})
+            kind = next(k for k in ("<i2", "<i4", "<i8") if np.abs(values).max(initial=0) <= np.iinfo(k).max)
+            return pa.RecordBatch.from_pydict({"dims": pa.array([d], pa.int32()), "kind": pa.array([kind]), "ids": pa.array([ids.tobytes()], pa.binary()), "components": pa.array([values.astype(kind).tobytes()], pa.binary())})
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -107,13 +111,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
 
     The components are whole numbers (see scaled()).
     """
-    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    schema = "dims int, n int, ids binary, components binary"
-    blocks = own.select("id", "v").mapInArrow(_pack(block), schema)
+    own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    schema = "dims int, kind string, ids binary, components binary"
+    blocks = stored(own.select("id", "v").mapInArrow(_pack(block), schema).withColumn("part", F.monotonically_increasing_id()), "topk-blocks")
     asked = own.where("q").select("id", "v").mapInArrow(_pack(query_block), schema)
-    asked = asked.select("dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("components").alias("q_components"))
-    # both sides are blocks: the pairs are the stated query set against all rows
-    pairs = blocks.withColumn("part", F.monotonically_increasing_id()).join(asked, "dims").repartition(F.xxhash64("part", "q_ids"))
+    asked = asked.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "components")))
+    # the stated query set against all rows, in blocks: the smaller query blocks go to where the candidates are
+    spread = max(1, blocks.count())
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(spread)).cast("int"))
+    asked = asked.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    pairs = blocks.join(asked.hint("merge"), ["dims", "bucket"])
 
     def run(batches):
         last, lists = None, None
@@ -121,13 +128,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
             for row in batch.to_pylist():
                 d = row["dims"]
                 if row["part"] != last:
-                    lists, last = Lists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["components"], np.int64).reshape(-1, d)), row["part"]
-                queries = np.frombuffer(row["q_components"], np.int64).reshape(-1, d)
+                    lists, last = Lists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["components"], row["kind"]).reshape(-1, d).astype(np.int64)), row["part"]
+                queries = np.frombuffer(row["q_components"], row["q_kind"]).reshape(-1, d).astype(np.int64)
                 out = [(q, i, s) for q, values in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries) for s, i in lists.top(q, values, k)]
                 columns = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("part", "dims", "ids", "components", "q_ids", "q_components").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("part", "dims", "kind", "ids", "components", "q_kind", "q_ids", "q_components").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -29,15 +29,17 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def remove(spark: SparkSession, *frames: DataFrame) -> None:
+def remove(*frames: DataFrame) -> None:
     """Delete the files of stored() frames that nothing will read again."""
     for df in frames:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import remove, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = 0xFF  # no byte of UTF-8
@@ -243,17 +243,19 @@ def train(docs: DataFrame, text: str = "text", order: int = 6, min_share: float
     words, runs = found.where("word is not null").select("word", "n"), found.where("code is not null").select("code", "n")
     total = runs.agg(F.sum("n")).first()[0] or 0
     least = max(least_count, math.ceil(min_share * total))
-    level, levels = runs, {order: runs}
+    level, levels, below = runs, {order: runs}, None
     for k in range(order - 1, -1, -1):
         level = level.groupBy(F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("code")).agg(F.sum("n").alias("n"))
         if k == order - 1:
-            level = stored(level, "lm-level")
+            level = below = stored(level, "lm-level")
         levels[k] = level
     kept = None
     for k, x in levels.items():
         x = x.where(F.col("n") >= (least if k else 1)).select(F.lit(k).alias("k"), "code", "n")
         kept = x if kept is None else kept.unionAll(x)
     got = kept.toArrow()
+    if below is not None:
+        remove(below)
     k, code, n = (got.column(c).to_numpy() for c in ("k", "code", "n"))
     model = Model(order, [(code[k == j].astype(np.uint64), n[k == j]) for j in range(order + 1)])
     size = words.agg(F.sum("n"), F.count("*")).first()

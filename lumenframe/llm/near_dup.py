@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordHashes, mix, stored, windows, word_hashes
+from lumenframe.llm.common import WordHashes, mix, remove, stored, windows, word_hashes
 
 WIDTH, LEAST, BANDS, ROWS, CELLS, DAMPING = 5, 0.8, 12, 4, 1 << 20, 0.1
 WORD = re.compile(r"\w+")
@@ -240,15 +240,17 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (a, b): smallest labels spread, with jumps."""
     both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "dup-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "dup-labels")
+    last = labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "dup-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = stored(low.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", F.col("component"))).alias("component")), "dup-labels")
         changed = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
+        remove(last)
+        last, labels = new, new.select("node", "component")
         if not changed:
+            remove(both)
             return labels
 
 
@@ -348,6 +350,7 @@ def classes(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text:
     blocks = stored(promising(crossing(members.select("band", "node"), components(edges)), sketches), "dup-blocks")
     more = stored(crossing_links(blocks, texts, idf, least), "dup-links")
     labels = components(edges.unionAll(more))
+    remove(texts, blocks, members, pairs, tested, more)
     of = by_id.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
     return of.unionAll(rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,49 +160,66 @@ def matches(texts: list[str], items: Items, canon: Canon, least_cover: float, le
     return [(d, item, *found) for (d, item), found in best.items()]
 
 
+def item_blocks(benchmark: DataFrame, width: int, least_literal: float, most_windows: int, item_id: str, item_text: str):
+    """The benchmark as Items of at most about most_windows windows each; at least one."""
+    block, size, made = [], 0, False
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    for row in rows.toLocalIterator():
+        block.append((row.item_id, row.text))
+        size += len((row.text or "").split())
+        if size >= most_windows:
+            yield Items(block, width, least_literal)
+            block, size, made = [], 0, True
+    if block or not made:
+        yield Items(block, width, least_literal)
+
+
+def parts(texts: list[str | None], size: int = 2 << 20):
+    """(first, texts) of runs of about size characters."""
+    first, held = 0, 0
+    for i, x in enumerate(texts):
+        held += len(x or "")
+        if held >= size or i + 1 == len(texts):
+            yield first, [t or "" for t in texts[first : i + 1]]
+            first, held = i + 1, 0
+
+
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover: float = LEAST_COVER, least_consistent: float = LEAST_CONSISTENT, least_literal: float = 0.5, most_windows: int = 1_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, coverage (share of the item's windows), slot_agreement, slots and verbatim of each match."""
-    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, coverage double, slot_agreement double, slots int, verbatim boolean"
+    names = ["doc_id", "item_id", "coverage", "slot_agreement", "slots", "verbatim"]
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_())
 
     def scan(shared):
         def run(batches):
             canon, items = Canon(), shared.value
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-                first, size = 0, 0
-                for i, x in enumerate(texts):
-                    size += len(x)
-                    if size < 2 << 20 and i + 1 < len(texts):
-                        continue
-                    found = matches(texts[first : i + 1], items, canon, least_cover, least_consistent)
-                    rows = [(ids[first + d], items.ids[k], cover, agreement, slots, verbatim) for d, k, cover, agreement, slots, verbatim in found]
-                    first, size = i + 1, 0
+                ids = batch.column(0).to_pylist()
+                for first, texts in parts(batch.column(1).to_pylist()):
+                    rows = [(ids[first + d], items.ids[k], *found) for d, k, *found in matches(texts, items, canon, least_cover, least_consistent)]
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "coverage", "slot_agreement", "slots", "verbatim"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-        return own.mapInArrow(run, schema)
+        return own.mapInArrow(run, "doc_id long, item_id long, coverage double, slot_agreement double, slots int, verbatim boolean")
 
-    out, block, size = None, [], 0
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    return reduce(DataFrame.unionAll, [scan(broadcast(x)) for x in item_blocks(benchmark, width, least_literal, most_windows, item_id, item_text)])
 
-    def add():
-        nonlocal out, block, size
-        part = scan(spark.sparkContext.broadcast(Items(block, width, least_literal)))
-        out, block, size = part if out is None else out.unionAll(part), [], 0
 
-    for row in rows.toLocalIterator():
-        block.append((row.item_id, row.text))
-        size += len((row.text or "").split())
-        if size >= most_windows:
-            add()
-    if block or out is None:
-        add()
-    return out
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover: float = LEAST_COVER, least_consistent: float = LEAST_CONSISTENT, least_literal: float = 0.5, most_windows: int = 1_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without a match. Each row is judged by its own text, where it lies: nothing is shuffled."""
+
+    def scan(df, shared):
+        def run(batches):
+            canon, items = Canon(), shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, texts in parts(batch.column(text).to_pylist()):
+                    keep[[first + m[0] for m in matches(texts, items, canon, least_cover, least_consistent)]] = False
+                yield batch.filter(pa.array(keep))
 
+        return df.mapInArrow(run, df.schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The documents without a match. A null id stays."""
-    found = find(docs, benchmark, doc_id=doc_id, **settings).select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_leaked"), F.col(doc_id) == F.col("_leaked"), "left_anti")
+    for items in item_blocks(benchmark, width, least_literal, most_windows, item_id, item_text):
+        docs = scan(docs, docs.sparkSession.sparkContext.broadcast(items))
+    return docs

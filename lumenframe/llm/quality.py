@@ -99,7 +99,7 @@ def fit(slots: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
     w = np.zeros(SLOTS, np.float32)
     if len(sizes) == 0:
         return w, np.full(n_grades - 1, -20.0)
-    z, power = np.zeros(SLOTS), np.zeros(SLOTS)
+    z, power = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
     shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades)
     cuts, cut_power = np.log((shares + 1e-3) / (1 - shares + 1e-3)), np.full(n_grades - 1, 1e-2)
     seen = np.zeros(SLOTS, np.int32)
@@ -139,7 +139,7 @@ def fit(slots: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
     return w, cuts
 
 
-def train(docs: DataFrame, ratings: DataFrame, grade, n_grades: int, doc_id: str = "doc_id", text: str = "text", most_rated: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, ratings: DataFrame, grade, n_grades: int, doc_id: str = "doc_id", text: str = "text", most_rated: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """fit() on the texts of at most most_rated rated ids."""
     rated = ratings.select(F.col(doc_id).alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rated)

@@ -24,7 +24,7 @@ from lumenframe.llm.common import remove, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = 0xFF  # no byte of UTF-8
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 class Table:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.plans.apply import views
+
 SCHEMA = "path string, shape array<int>, image array<float>, spacing array<double>, modality string, metadata map<string,string>, affine array<double>"
 # Data type codes of the format.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -102,9 +104,9 @@ def to_nifti(df: DataFrame, name: str = "volume_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row, values in zip(batch.select(["name", "shape", "spacing", "affine"]).to_pylist(), views(batch.column("image"))):
                 matrix = [float(x) for x in row["affine"].split(",")] if row["affine"] else None
-                image = np.array(row["image"], np.float32).reshape(row["shape"])
+                image = values.reshape(row["shape"])
                 yield pa.RecordBatch.from_pydict({"name": pa.array([f"{row['name']}.nii.gz"]), "content": pa.array([encode(image, row["spacing"] or [1.0] * image.ndim, matrix)], pa.binary())})
 
     return df.select(F.col(name).cast("string").alias("name"), "shape", "image", "spacing", affine.alias("affine")).mapInArrow(run, "name string, content binary")

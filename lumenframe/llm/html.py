@@ -34,7 +34,7 @@ CONTENT = frozenset(("article", "main"))
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu\w*|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|comments?|comment-?list|respond|disqus|replies|reviews?|share|sharing|social|related|recommended|pagination|pager|widget|toolbar|login|search)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-LEAST, WALL = 0.3, 12.0  # the least and the greatest cost of a tag, in words
+LEAST, WALL, DROP = 0.3, 12.0, 0.5  # in words: the least cost of a tag (and of unknown ones), the greatest, and that of a dropped element
 
 
 def boilerplate(name: str, attributes: str, inside: bool) -> bool:
@@ -117,7 +117,7 @@ def weights(inside: Counter, outside: Counter) -> dict[str, float]:
     """
     all_in, all_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     cost = {t: min(WALL, max(LEAST, LEAST + math.log(((outside[t] + 0.5) / all_out) / ((inside[t] + 0.5) / all_in)) * 1.5)) for t in inside.keys() | outside.keys()}
-    return {t: min(c, 1.0) if t.startswith("drop ") else c for t, c in cost.items()} | {s + t: math.inf for t in CONTENT for s in ("", "/")}
+    return {t: min(c, DROP) if t.startswith("drop ") else c for t, c in cost.items()} | {s + t: math.inf for t in CONTENT for s in ("", "/")}
 
 
 def best_region(found: list[tuple[str, str]], cost: dict[str, float]) -> tuple[int, int]:
@@ -125,7 +125,7 @@ def best_region(found: list[tuple[str, str]], cost: dict[str, float]) -> tuple[i
     best = here = 0.0
     at, start, end = 0, 0, 0
     for i, (kind, value) in enumerate(found):
-        here += len(value.split()) if kind == "text" else -cost.get(key(kind, value), 1.0)
+        here += len(value.split()) if kind == "text" else -cost.get(key(kind, value), DROP if kind == "drop" else LEAST)
         if here <= 0:
             here, at = 0.0, i + 1
         elif here > best:

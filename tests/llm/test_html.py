@@ -35,7 +35,7 @@ def test_pages(page, want):
 
 def test_region_is_the_best_of_all_by_brute_force():
     found = H.tokens("<li>a</li><li>b c</li><p>one two three</p><p>four five</p><div>x</div><li>y z</li>")
-    value = [len(v.split()) if k == "text" else -COST.get(v, 1.0) for k, v in found]
+    value = [len(v.split()) if k == "text" else -COST.get(v, H.LEAST) for k, v in found]
     best = max((sum(value[i:j]), -i, -(j - i)) for i in range(len(value)) for j in range(i + 1, len(value) + 1))
     start, end = H.best_region(found, COST)
     assert sum(value[start:end]) == pytest.approx(best[0])

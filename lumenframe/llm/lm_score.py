@@ -24,14 +24,14 @@ from lumenframe.llm.common import remove, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = 0xFF  # no byte of UTF-8
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 class Table:
     """Open-addressed hash table from 64-bit keys to their positions, probed by whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 2.5).bit_length())
+        bits = max(4, (len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
@@ -63,64 +63,84 @@ class Table:
 
 
 class Model:
-    """The trie as flat arrays by context length; score() gives the log10 probability of every byte and end mark."""
+    """The trie as flat arrays by context length; score() gives the log10 probability of every byte and end mark.
+
+    As the symbols seen in a context are among those seen in its shorter one, what a context's escape excludes there is
+    a number of its own, so all logarithms are known before scoring.
+    """
 
     def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray]]):
         """levels: for context lengths 0 to order, the kept runs (context and symbol in one number) and their counts."""
         self.order, self.levels = order, []
-        docs = 0
-        below: tuple | None = None
+        docs, below = 0, None
         for k, (runs, counts) in enumerate(levels):
             by = np.argsort(runs)
             runs, counts = runs[by].astype(np.uint64), counts[by].astype(np.float64)
             context, of = np.unique(runs >> np.uint64(8), return_inverse=True)
             kept = np.bincount(of, counts, len(context))
             seen = np.bincount(of, minlength=len(context)).astype(np.float64)
+            total, after = kept, None
             if k == 0:
-                total = kept  # symbols of too small a share are in the escape mass of nothing: see below
                 if (x := np.flatnonzero(runs == END)).size:
                     docs = counts[x[0]]
-            else:  # each time a run ends in a byte, one symbol follows it
-                i = np.clip(np.searchsorted(below[0], context), 0, max(0, len(below[0]) - 1))
-                total = below[1][i] if len(context) else kept
-                start = context == np.uint64((1 << (8 * k)) - 1)
-                total = np.maximum(np.where(start, docs, total), kept)
-            gone, gone_seen = np.zeros(len(context)), np.zeros(len(context))
-            if k:  # what the next shorter context excludes after an escape from this one
-                i = np.searchsorted(below[0], runs & np.uint64((1 << (8 * k)) - 1))
-                gone = np.bincount(of, below[1][i], len(context))
-                gone_seen = seen
-            self.levels.append((runs, counts, Table(runs), Table(context), of, total, seen, total - kept, gone, gone_seen))
-            below = (runs, counts)
+            else:
+                old_runs, old_counts, old_context, old_total, old_kept, old_seen = below
+                if len(context):  # each time a run ends in a byte, one symbol follows it; every text has one start
+                    i = np.clip(np.searchsorted(old_runs, context), 0, len(old_runs) - 1)
+                    start = context == np.uint64((1 << (8 * k)) - 1)
+                    total = np.maximum(np.where(start, docs, old_counts[i]), kept)
+                # after an escape from this context: the shorter one without what this one has seen
+                short = np.uint64((1 << (8 * k)) - 1)
+                gone = np.bincount(of, old_counts[np.searchsorted(old_runs, runs & short)], len(context))
+                s = np.searchsorted(old_context, context & np.uint64((1 << (8 * (k - 1))) - 1))
+                novel = old_seen[s] - seen
+                whole = old_total[s] - gone + novel
+                after = (_log(whole), _escape(novel + old_total[s] - old_kept[s], whole))
+            first = (_log(total + seen), _escape(seen + total - kept, total + seen))
+            self.levels.append((Table(runs), Table(context), np.log10(counts), of.astype(np.int32), first, after))
+            below = (runs, counts, context, total, kept, seen)
         self.unseen = 256 - (len(levels[0][0]) if levels else 0)
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes))
-        left, ex, ex_seen = np.arange(len(codes)), np.zeros(len(codes)), np.zeros(len(codes))
+        left, last = np.arange(len(codes)), None  # last: the longer context that each position has escaped from, -1 for none
         for k in range(self.order, -1, -1):
-            if not len(left):
-                return out
-            runs, counts, by_run, by_context, of, total, seen, rest, gone, gone_seen = self.levels[k]
-            run = codes[left] & np.uint64((1 << (8 * (k + 1))) - 1)
+            by_run, by_context, log_counts, of, first, _ = self.levels[k]
+            after = self.levels[k + 1][5] if k < self.order else None
+            run = codes[left] if k == self.order else codes[left] & np.uint64((1 << (8 * (k + 1))) - 1)
             at = by_run.find(run)
             hit = at >= 0
             i = at[hit]
-            c = of[i]
-            out[left[hit]] += np.log10(counts[i] / (total[c] - ex[hit] + seen[c] - ex_seen[hit]))
-            left, run, ex, ex_seen = left[~hit], run[~hit], ex[~hit], ex_seen[~hit]
+            base = first[0][of[i]]
+            if last is not None:
+                own = last[hit]
+                base = np.where(own >= 0, after[0][own], base) if len(after[0]) else base
+            out[left[hit]] += log_counts[i] - base
+            miss = ~hit
+            left, run = left[miss], run[miss]
+            if not len(left):
+                return out
             c = by_context.find(run >> np.uint64(8))
             known = c >= 0
-            c = c[known]
-            escape = seen[c] - ex_seen[known] + rest[c]
-            whole = total[c] - ex[known] + seen[c] - ex_seen[known]
-            # nothing but excluded symbols: the escape is certain
-            out[left[known]] += np.log10(np.where(escape > 0, escape, 1) / np.where(escape > 0, whole, 1))
-            ex, ex_seen = np.zeros(len(left)), np.zeros(len(left))
-            ex[known], ex_seen[known] = gone[c], gone_seen[c]
+            escape = first[1][c[known]]
+            if last is not None:
+                own = last[miss][known]
+                escape = np.where(own >= 0, after[1][own], escape) if len(after[1]) else escape
+            out[left[known]] += escape
+            last = c
         out[left] -= math.log10(max(1, self.unseen))
         return out
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1e-9))
+
+
+def _escape(mass: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """log10 of the escape's share; 0, a certain escape, where nothing but excluded symbols is left."""
+    return np.where(mass > 0, np.log10(np.maximum(mass, 1e-9) / np.maximum(whole, 1e-9)), 0.0)
+
+
 def blocks(texts: list[bytes | None]):
     """Lower-cased texts in blocks of about BLOCK bytes: (first, texts)."""
     first, size = 0, 0
@@ -150,13 +170,16 @@ def codes_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and how often they occur; n: how often each already counts."""
     if n is None:
         codes = np.sort(codes)
-        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-        return codes[first], np.diff(np.r_[first, len(codes)])
-    by = np.argsort(codes, kind="stable")
-    codes, n = codes[by], n[by]
+    else:
+        by = np.argsort(codes, kind="stable")
+        codes, n = codes[by], n[by]
+        del by
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    if n is None:
+        return codes[first], np.diff(np.r_[first, len(codes)]).astype(np.int32)
     return codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
@@ -165,7 +188,7 @@ def _count(order: int, words_at_once: int, runs_at_once: int):
         if words:
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.binary()).cast(pa.string()), "code": pa.nulls(len(words), pa.int64()), "n": pa.array(list(words.values()), pa.int64())})
         if runs and len(runs[0]):
-            yield pa.RecordBatch.from_pydict({"word": pa.nulls(len(runs[0]), pa.string()), "code": pa.array(runs[0].astype(np.int64)), "n": pa.array(runs[1], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"word": pa.nulls(len(runs[0]), pa.string()), "code": pa.array(runs[0].astype(np.int64)), "n": pa.array(runs[1].astype(np.int64))})
 
     def run(batches):
         words, parts, size, docs = Counter(), [], 0, 0
@@ -238,8 +261,9 @@ def train(docs: DataFrame, text: str = "text", order: int = 6, min_share: float
     min_share is the model's resolution: the share of all positions that a run of bytes needs to become a node;
     least_count is how often it has to occur at least, as rarer runs do not tell what follows.
     """
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, 400_000, 4_000_000), "word string, code long, n long")
-    found = stored(found.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, 300_000, 2_500_000), "word string, code long, n long")
+    # each task has added up its own counts already: a second time before the shuffle would only cost memory
+    found = stored(found.repartition("word", "code").groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
     words, runs = found.where("word is not null").select("word", "n"), found.where("code is not null").select("code", "n")
     total = runs.agg(F.sum("n")).first()[0] or 0
     least = max(least_count, math.ceil(min_share * total))

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES = "path string, series_uid string, study_uid string, patient_id string, modality string, vendor string, ipp array<double>, iop array<double>, slice_location double, instance_number double, pixel_spacing array<double>, thickness double, slope double, intercept double, frames int, rows int, columns int, pixels array<float>"
+SLICES = "path string, series_uid string, study_uid string, patient_id string, modality string, vendor string, ipp array<double>, iop array<double>, slice_location double, instance_number double, pixel_spacing array<double>, thickness double, slope double, intercept double, window_center double, window_width double, frames int, rows int, columns int, pixels array<float>"
 # Transfer syntaxes and tags of the standard.
 IMPLICIT, EXPLICIT = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1"
 TAGS = {
     (0x0008, 0x0060): "modality", (0x0008, 0x0070): "vendor", (0x0010, 0x0020): "patient_id", (0x0020, 0x000D): "study_uid", (0x0020, 0x000E): "series_uid", (0x0020, 0x0032): "ipp", (0x0020, 0x0037): "iop", (0x0020, 0x1041): "slice_location",
-    (0x0020, 0x0013): "instance_number", (0x0028, 0x0030): "pixel_spacing", (0x0018, 0x0050): "thickness", (0x0028, 0x1053): "slope", (0x0028, 0x1052): "intercept", (0x0028, 0x0008): "frames", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns",
+    (0x0020, 0x0013): "instance_number", (0x0028, 0x0030): "pixel_spacing", (0x0018, 0x0050): "thickness", (0x0028, 0x1053): "slope", (0x0028, 0x1052): "intercept", (0x0028, 0x1050): "window_center", (0x0028, 0x1051): "window_width", (0x0028, 0x0008): "frames", (0x0028, 0x0010): "rows", (0x0028, 0x0011): "columns",
     (0x0028, 0x0100): "bits", (0x0028, 0x0103): "signed", (0x7FE0, 0x0010): "pixels", (0x0002, 0x0010): "syntax",
 }
 LONG = frozenset((b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"SV", b"UC", b"UN", b"UR", b"UT", b"UV"))
@@ -99,7 +99,7 @@ def decode(path: str, content: bytes) -> dict | None:
         return None
     return {
         "path": path, "series_uid": text("series_uid"), "study_uid": text("study_uid"), "patient_id": text("patient_id"), "modality": text("modality"), "vendor": text("vendor"), "ipp": numbers("ipp"), "iop": numbers("iop"),
-        "slice_location": number("slice_location"), "instance_number": number("instance_number"), "pixel_spacing": numbers("pixel_spacing"), "thickness": number("thickness"), "slope": number("slope"), "intercept": number("intercept"),
+        "slice_location": number("slice_location"), "instance_number": number("instance_number"), "pixel_spacing": numbers("pixel_spacing"), "thickness": number("thickness"), "slope": number("slope"), "intercept": number("intercept"), "window_center": number("window_center"), "window_width": number("window_width"),
         "frames": frames, "rows": whole["rows"], "columns": whole["columns"], "pixels": pixels,
     }
 
@@ -136,7 +136,8 @@ def stacked(slices: DataFrame) -> DataFrame:
     """One volume for each series, as from load_slices(): slices in order, rescaled, with the spacing of their positions.
 
     Values are pixel x slope + intercept, with the first slice's where a slice has none. The distance of slices is the
-    median of the differences of their positions, else the slice thickness, else 1.
+    median of the differences of their positions, else the slice thickness, else 1. The first slice's window is in
+    columns of its own; to have WindowLevel use it, put it in the metadata.
     """
     key = F.coalesce("series_uid", F.lit(""))
     by = Window.partitionBy("key").orderBy("position", "path")
@@ -145,7 +146,7 @@ def stacked(slices: DataFrame) -> DataFrame:
     df = slices.withColumns({"key": key, "position": slice_position()})
     df = df.withColumns({"step": F.abs(F.col("position") - F.lag("position").over(by)), "a": first("slope", 1.0), "b": first("intercept", 0.0)})
     df = df.withColumn("values", F.transform("pixels", lambda v: (v * F.col("a") + F.col("b")).cast("float")))
-    row = F.struct("position", "path", "values", "slope", "intercept", "rows", "columns", "frames", "pixel_spacing", "thickness", "modality", "vendor", "patient_id", "study_uid", "series_uid")
+    row = F.struct("position", "path", "values", "slope", "intercept", "rows", "columns", "frames", "pixel_spacing", "thickness", "window_center", "window_width", "modality", "vendor", "patient_id", "study_uid", "series_uid")
     df = df.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("s"), F.percentile("step", 0.5).alias("step"), F.count_distinct("rows", "columns").alias("sizes"))
     f = lambda c: F.col("s")[0][c]
     many, frames = F.size("s") > 1, f("frames")
@@ -156,7 +157,7 @@ def stacked(slices: DataFrame) -> DataFrame:
     metadata = F.map_filter(F.create_map(*(x for k, v in facts.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
     return df.where(ok).select(
         F.xxhash64("key").alias("volume_id"), F.when(many, F.array(F.size("s"), f("rows"), f("columns"))).when(frames > 1, F.array(frames, f("rows"), f("columns"))).otherwise(F.array(f("rows"), f("columns"))).alias("shape"),
-        F.flatten(F.transform("s", lambda x: x["values"])).alias("image"), F.when(many | (frames > 1), F.array(thick, *plane)).otherwise(F.array(*plane)).alias("spacing"), f("modality").alias("modality"), metadata.alias("metadata"),
+        F.flatten(F.transform("s", lambda x: x["values"])).alias("image"), F.when(many | (frames > 1), F.array(thick, *plane)).otherwise(F.array(*plane)).alias("spacing"), f("modality").alias("modality"), metadata.alias("metadata"), f("window_center").alias("window_center"), f("window_width").alias("window_width"),
     )
 
 

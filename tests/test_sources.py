@@ -40,7 +40,7 @@ def file_of(k, series="1.2.3", pixels=True, rows=16, slope="1", syntax="1.2.840.
     body = [
         (0x0008, 0x0060, b"CS", "CT"), (0x0008, 0x0070, b"LO", "TestVendor"), (0x0010, 0x0020, b"LO", "P1"), (0x0018, 0x0050, b"DS", "3"), (0x0020, 0x000E, b"UI", series), (0x0020, 0x0013, b"IS", str(9 - k)), (0x0020, 0x0032, b"DS", f"0\\0\\{1.5 * k}"),
         (0x0020, 0x0037, b"DS", "1\\0\\0\\0\\1\\0"), (0x0028, 0x0010, b"US", struct.pack("<H", rows)), (0x0028, 0x0011, b"US", struct.pack("<H", 16)), (0x0028, 0x0030, b"DS", "0.5\\0.5"), (0x0028, 0x0100, b"US", struct.pack("<H", 16)), (0x0028, 0x0103, b"US", struct.pack("<H", 0)),
-        (0x0028, 0x1052, b"DS", "-1024"), (0x0028, 0x1053, b"DS", slope),
+        (0x0028, 0x1050, b"DS", "40\\80"), (0x0028, 0x1051, b"DS", "400"), (0x0028, 0x1052, b"DS", "-1024"), (0x0028, 0x1053, b"DS", slope),
     ]
     if pixels:
         body.append((0x7FE0, 0x0010, b"OW", data.tobytes()))
@@ -57,7 +57,7 @@ def test_dicom_series(spark, tmp_path):
     (folder / "notes.txt").write_bytes(file_of(0, "9.9"))
     row = dicom.load_dicom_series(spark, str(tmp_path)).first()
     assert row.shape == [5, 16, 16] and row.spacing == [1.5, 0.5, 0.5] and row.image[:: 16 * 16] == [0.0, 100.0, 200.0, 300.0, 400.0]
-    assert row.modality == "CT" and row.metadata["vendor"] == "TestVendor" and row.metadata["num_slices"] == "5"
+    assert row.modality == "CT" and row.metadata["vendor"] == "TestVendor" and row.metadata["num_slices"] == "5" and (row.window_center, row.window_width) == (40.0, 400.0)
     (folder / "other.dcm").write_bytes(file_of(0, "7.7"))
     with pytest.raises(ValueError):
         dicom.load_dicom_series(spark, str(tmp_path))

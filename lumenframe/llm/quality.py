@@ -16,7 +16,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,30 +89,33 @@ def values(n: int) -> np.ndarray:
     return out
 
 
-def fit(slots: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 15, rate: float = 0.5, sparsity: float = 8.0, ridge: float = 1.0, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit(pieces: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = 15, rate: float = 0.5, sparsity: float = 8.0, ridge: float = 1.0, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights over the slots and n_grades - 1 ascending thresholds: the ordinal likelihood by FTRL-proximal steps.
 
-    slots holds the rows' features end to end, sizes how many each row has. sparsity keeps weights at 0 unless many
-    rows pull them one way, so rare words of single rows carry none.
+    Each piece has the features of some rows end to end, and how many each row has. sparsity keeps weights at 0 unless
+    many rows pull them one way, so rare words of single rows carry none.
     """
     w = np.zeros(SLOTS, np.float32)
-    if len(sizes) == 0:
+    if len(grades) == 0:
         return w, np.full(n_grades - 1, -20.0)
     z, power = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
     shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades)
     cuts, cut_power = np.log((shares + 1e-3) / (1 - shares + 1e-3)), np.full(n_grades - 1, 1e-2)
     seen = np.zeros(SLOTS, np.int32)
-    for at in range(0, len(slots), 1 << 20):
-        found, n = np.unique(slots[at : at + (1 << 20)], return_counts=True)
-        seen[found] += n.astype(np.int32)
-    keep = seen[slots] >= least_rows
-    value = np.full(len(slots), WORD_VALUE, np.float32)
-    ends = np.cumsum(sizes)
-    for k in range(1, 2 * SHAPES + 1):
-        value[ends - k] = 1
-    value, slots = value[keep], slots[keep]
-    kept = np.r_[0, np.cumsum(keep, dtype=np.int32)[ends - 1]]
-    del keep, seen
+    for own, _ in pieces:
+        for at in range(0, len(own), 1 << 20):
+            found, n = np.unique(own[at : at + (1 << 20)], return_counts=True)
+            seen[found] += n.astype(np.int32)
+    parts = []
+    for own, sizes in pieces:  # without rare features, most of the memory goes
+        keep, shape, ends = seen[own] >= least_rows, np.zeros(len(own), bool), np.cumsum(sizes)
+        for k in range(1, 2 * SHAPES + 1):
+            shape[ends - k] = True
+        parts.append((own[keep], np.where(shape[keep], np.float32(1), np.float32(WORD_VALUE)), np.add.reduceat(keep, ends - sizes, dtype=np.int64)))
+    del seen, keep, shape
+    slots, value, sizes = (np.concatenate(x) for x in zip(*parts))
+    del parts, pieces
+    kept = np.r_[0, np.cumsum(sizes)]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(len(sizes)), max(1, len(sizes) // 32)):
@@ -152,9 +154,14 @@ def train(docs: DataFrame, ratings: DataFrame, grade, n_grades: int, doc_id: str
             yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "grade": batch.column("grade"), "slots": pa.array(rows, pa.binary())})
 
     got = own.select("doc_id", "text", "grade").mapInArrow(run, "id long, grade int, slots binary").orderBy("id", "slots").toArrow()
-    found = got.column("slots").combine_chunks()
-    sizes = np.array(pc.binary_length(found).to_numpy(zero_copy_only=False), np.int64) // 4
-    return fit(np.frombuffer(found.buffers()[2] or b"", np.int32)[: sizes.sum()], sizes, np.array(got.column("grade").to_pylist(), np.int64), n_grades)
+    grades = got.column("grade").to_numpy()
+    pieces = []
+    for chunk in got.column("slots").chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+        if len(chunk):
+            pieces.append((np.frombuffer(chunk.buffers()[2], np.int32)[ends[0] : ends[-1]], np.diff(ends)))
+    del got
+    return fit(pieces, grades.astype(np.int64), n_grades)
 
 
 def rate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:

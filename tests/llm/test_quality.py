@@ -19,7 +19,7 @@ def test_fit_orders_grades_and_tails():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 4, 400)
     rows = [features.of(" ".join(f"good{k}" for k in range(g)) + " " + " ".join(rng.choice(["a", "b", "c", "d"], 5))) for g in grades]
-    w, cuts = Q.fit(np.concatenate(rows), np.array([len(r) for r in rows]), grades, 4, sparsity=0.5)
+    w, cuts = Q.fit([(np.concatenate(rows[:99]), np.array([len(r) for r in rows[:99]])), (np.concatenate(rows[99:]), np.array([len(r) for r in rows[99:]]))], grades, 4, sparsity=0.5)
     f = np.array([w[r] @ Q.values(len(r)) for r in rows])
     tail = 1 - Q.sigmoid(cuts[None] - f[:, None])
     assert (np.diff(cuts) > 0).all() and (np.diff(tail, axis=1) <= 0).all() and np.corrcoef(tail.sum(1), grades)[0, 1] > 0.9

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 MASK64 = 0xFFFFFFFFFFFFFFFF
@@ -34,6 +36,15 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
+def sent(spark: SparkSession, value):
+    """value broadcast with the source of its classes: workers need no copy of this package. See received()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def remove(*frames: DataFrame) -> None:
     """Delete the files of stored() frames that nothing will read again."""
     for df in frames:

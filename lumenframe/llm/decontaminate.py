@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordHashes, windows
+from lumenframe.llm.common import WordHashes, received, sent, windows
 
 WIDTH, LEAST_COVER, LEAST_CONSISTENT = 6, 0.4, 0.8
 LITERAL, NUMBER, UNIT, NAME = range(4)
@@ -192,7 +192,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover:
 
     def scan(shared):
         def run(batches):
-            canon, items = Canon(), shared.value
+            canon, items = Canon(), received(shared)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for first, texts in parts(batch.column(1).to_pylist()):
@@ -202,8 +202,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover:
 
         return own.mapInArrow(run, "doc_id long, item_id long, coverage double, slot_agreement double, slots int, verbatim boolean")
 
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    return reduce(DataFrame.unionAll, [scan(broadcast(x)) for x in item_blocks(benchmark, width, least_literal, most_windows, item_id, item_text)])
+    return reduce(DataFrame.unionAll, [scan(sent(docs.sparkSession, x)) for x in item_blocks(benchmark, width, least_literal, most_windows, item_id, item_text)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover: float = LEAST_COVER, least_consistent: float = LEAST_CONSISTENT, least_literal: float = 0.5, most_windows: int = 1_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -211,7 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover
 
     def scan(df, shared):
         def run(batches):
-            canon, items = Canon(), shared.value
+            canon, items = Canon(), received(shared)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for first, texts in parts(batch.column(text).to_pylist()):
@@ -221,5 +220,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_cover
         return df.mapInArrow(run, df.schema)
 
     for items in item_blocks(benchmark, width, least_literal, most_windows, item_id, item_text):
-        docs = scan(docs, docs.sparkSession.sparkContext.broadcast(items))
+        docs = scan(docs, sent(docs.sparkSession, items))
     return docs

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import received, sent
+
 LEAST, CONFIRMED, UNKNOWN = 0.5, 0.7, "unknown"
 # Short notices by licence family.
 TEMPLATES = {
@@ -178,10 +180,10 @@ def sample_paragraphs(docs: DataFrame, doc_id: str, text: str, most_plain: int)
 def scan(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", most_plain: int = 3_000) -> DataFrame:
     """doc_id, line, family, probability, similarity and confirmed of each paragraph with a licence family."""
     model = train(sample_paragraphs(docs, doc_id, text, most_plain)) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def run(batches):
-        m = shared.value
+        m = received(shared)
         for batch in batches:
             rows = [(i, *r) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in m.scan(x or "")]
             if rows:

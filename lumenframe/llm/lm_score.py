@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import remove, stored
+from lumenframe.llm.common import received, remove, sent, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = 0xFF  # no byte of UTF-8
@@ -221,7 +221,7 @@ def _score(model, hot, order: int, base: float):
     def run(batches):
         from pyspark import TaskContext
 
-        m, known = model.value, hot.value
+        m, known = received(model), hot.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, held = batch.column(0), batch.column(2)
@@ -299,7 +299,7 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame, int, int], held_out,
     hot = dict(zip(hot.column("word").cast(pa.binary()).to_pylist(), np.log10(hot.column("n").to_numpy() + 1.0).tolist()))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     schema = "row long, word string, tf long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double"
-    rows = own.mapInArrow(_score(sc.broadcast(model), sc.broadcast(hot), model.order, -math.log10(n + v + 1)), schema)
+    rows = own.mapInArrow(_score(sent(docs.sparkSession, model), sc.broadcast(hot), model.order, -math.log10(n + v + 1)), schema)
     cold = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
     by_row = rows.join(cold, "word", "left").groupBy("row").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score")),

@@ -1,9 +1,11 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
-Training counts every run of order+1 bytes of all training texts, and every word of them. The trie of byte contexts
-keeps the runs with at least the share min_share of all positions (and least_count occurrences), so it has at most
-1/min_share nodes a level, whatever the corpus; what it does not keep stays in the escape mass of its context, so each context's probabilities
-still add up to 1. Escapes are estimated as in PPM method C, with exclusion of the symbols seen in longer contexts.
+Training counts every run of order+1 bytes of all training texts, and every word of them, and keeps all of them as a
+table: the model grows with the corpus and is never held in one place. What a byte's probability needs are the runs
+that end in the same context, so the table is dealt out by the last SHARED bytes of the context; each part builds its
+piece of the trie, with the few runs of the shorter contexts, which all parts have. Frequent runs are scored once and
+broadcast; the positions of all others are sent to the part of their context. Escapes are estimated as in PPM method C,
+with exclusion of the symbols seen in longer contexts.
 
 Edge cases: a null text counts as empty, and an empty text is scored as its end mark alone; a null doc_id is training
 text; each input row gives one output row, repeated ids too; with no training text the model is uniform and N = 0.
@@ -17,14 +19,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import received, remove, sent, stored
+from lumenframe.llm.common import received, sent, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = 0xFF  # no byte of UTF-8
 BLOCK = 1 << 19
+SHARED = 3
 
 
 class Table:
@@ -69,27 +73,29 @@ class Model:
     a number of its own, so all logarithms are known before scoring.
     """
 
-    def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for context lengths 0 to order, the kept runs (context and symbol in one number) and their counts."""
+    def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray]], least: int = 1):
+        """levels: for context lengths 0 to order, the runs (context and symbol in one number) and their counts.
+
+        Of those with a context, the ones that occur less than least times are left to the escape of their context.
+        """
         self.order, self.levels = order, []
-        docs, below = 0, None
+        below = None
         for k, (runs, counts) in enumerate(levels):
             by = np.argsort(runs)
             runs, counts = runs[by].astype(np.uint64), counts[by].astype(np.float64)
             context, of = np.unique(runs >> np.uint64(8), return_inverse=True)
+            total = np.bincount(of, counts, len(context))
+            if k and least > 1:
+                keep = counts >= least
+                runs, counts, of = runs[keep], counts[keep], of[keep]
+                at, of = np.unique(of, return_inverse=True)
+                context, total = context[at], total[at]
             kept = np.bincount(of, counts, len(context))
             seen = np.bincount(of, minlength=len(context)).astype(np.float64)
-            total, after = kept, None
-            if k == 0:
-                if (x := np.flatnonzero(runs == END)).size:
-                    docs = counts[x[0]]
-            else:
+            after = None
+            if k:
                 old_runs, old_counts, old_context, old_total, old_kept, old_seen = below
-                if len(context):  # each time a run ends in a byte, one symbol follows it; every text has one start
-                    i = np.clip(np.searchsorted(old_runs, context), 0, len(old_runs) - 1)
-                    start = context == np.uint64((1 << (8 * k)) - 1)
-                    total = np.maximum(np.where(start, docs, old_counts[i]), kept)
-                # after an escape from this context: the shorter one without what this one has seen
+            # after an escape from this context: the shorter one without what this one has seen
                 short = np.uint64((1 << (8 * k)) - 1)
                 gone = np.bincount(of, old_counts[np.searchsorted(old_runs, runs & short)], len(context))
                 s = np.searchsorted(old_context, context & np.uint64((1 << (8 * (k - 1))) - 1))
@@ -215,19 +221,89 @@ def _count(order: int, words_at_once: int, runs_at_once: int):
     return run
 
 
-def _score(model, hot, order: int, base: float):
-    """One row for each text, and one for each word of it that is not among the hot ones; base is -log10(N + V + 1)."""
+def context_key(code, order: int):
+    """The last SHARED symbols of a code's context, of a Column or an array: a position is scored by the part with its key."""
+    cut = min(SHARED, order)
+    if isinstance(code, np.ndarray):
+        return (code >> np.uint64(8)) & np.uint64((1 << (8 * cut)) - 1)
+    return F.shiftright(code, 8).bitwiseAND((1 << (8 * cut)) - 1)
+
+
+def shorter(codes: np.ndarray, n: np.ndarray, order: int, least_order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs and counts for context lengths least_order to order, from those of the longest."""
+    out = [(codes, n)]
+    for k in range(order - 1, least_order - 1, -1):
+        out.append(counted(out[-1][0] & np.uint64((1 << (8 * (k + 1))) - 1), out[-1][1]))
+    return out[::-1]
+
+
+class Trained:
+    """All runs as a table (key, word, code, n, top) on the shared folder, and those of the shorter contexts as arrays."""
+
+    def __init__(self, order: int, counts: DataFrame, least: int):
+        self.order, self.least, self.cut = order, least, min(SHARED, order)
+        self.runs = counts.where("code is not null").select("key", "code", "n", "top")
+        self.total = self.runs.agg(F.sum("n")).first()[0] or 0
+        self.shared = []
+        if self.cut:
+            low = self.runs.groupBy(F.col("code").bitwiseAND((1 << (8 * self.cut)) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+            self.shared = shorter(low.column("code").to_numpy().astype(np.uint64), low.column("n").to_numpy(), self.cut - 1, 0)
+
+    def score(self, codes: np.ndarray) -> np.ndarray:
+        """The log10 probability of some codes, here: reads the parts of the table that have their keys."""
+        keys = np.unique(context_key(codes, self.order)).astype(np.int64).tolist()
+        own = self.runs.where(F.col("key").isin(keys)).toArrow()
+        return piece(self.shared, own.column("code").to_numpy().astype(np.uint64), own.column("n").to_numpy(), self.order, self.least).score(codes)
+
+
+def piece(shared, codes: np.ndarray, n: np.ndarray, order: int, least: int) -> Model:
+    """The trie of the contexts with some keys, from all their runs."""
+    return Model(order, [*shared, *shorter(codes, n, order, len(shared))], least)
+
+
+def _top(least: int):
+    """Counts with the log10 probability of each run in its whole context; all runs of a context are in one partition."""
+
+    def run(batches):
+        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if whole is None:
+            return
+        n, code = whole.column("n").to_numpy().astype(np.float64), whole.column("code")
+        at = np.flatnonzero(~code.is_null().to_numpy())
+        _, of = np.unique(code.drop_null().to_numpy() >> 8, return_inverse=True)
+        own = n[at]
+        top = np.full(len(n), np.nan)
+        top[at] = np.log10(own) - _log(np.bincount(of, own) + np.bincount(of, own >= least))[of] if len(at) else 0.0
+        yield from whole.append_column("top", pa.array(top)).to_batches(max_chunksize=100_000)
+
+    return run
+
+
+def _score(frequent, hot, order: int, base: float):
+    """One row for each text; one for each word of it that is not hot, and one for each code that is not frequent.
+
+    base is -log10(N + V + 1).
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        m, known = received(model), hot.value
+        (codes_known, tops), known = received(frequent), hot.value
+        table = Table(codes_known)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, held = batch.column(0), batch.column(2)
             for first, block in blocks(batch.column(1).cast(pa.binary()).to_pylist()):
                 codes, starts = codes_of(block, order)
-                scores = np.add.reduceat(m.score(codes), starts)
+                at = table.find(codes)
+                scores = np.add.reduceat(np.where(at >= 0, tops[at], 0.0), starts)
+                cold_at = np.flatnonzero(at < 0)
+                cold_codes, cold_rows = codes[cold_at], np.searchsorted(starts, cold_at, "right") - 1
+                by = np.lexsort((cold_codes, cold_rows))
+                cold_codes, cold_rows = cold_codes[by], cold_rows[by]
+                new = np.flatnonzero(np.r_[True, (cold_codes[1:] != cold_codes[:-1]) | (cold_rows[1:] != cold_rows[:-1])]) if len(by) else np.zeros(0, np.int64)
+                code_tf = np.diff(np.r_[new, len(by)])
+                cold_codes, cold_rows = cold_codes[new], cold_rows[new]
                 n_tokens, n_known, sums, word_rows, words, tf = [], [], [], [], [], []
                 for i, text in enumerate(block):
                     tokens = text.split()
@@ -241,78 +317,126 @@ def _score(model, hot, order: int, base: float):
                     word_rows += [row + first + i] * len(rare)
                     words += rare.keys()
                     tf += rare.values()
-                n, k = len(block), len(words)
-                rows = pa.array(np.r_[np.arange(row + first, row + first + n), np.array(word_rows, np.int64)], pa.int64())
-                own = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
-                none = pa.array([f"\n{x}" for x in range(row + first, row + first + n)], pa.string())
+                n, k, c = len(block), len(words), len(cold_codes)
+                own = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k + c, kind)])
                 yield pa.RecordBatch.from_pydict({
-                    "row": rows, "word": pa.concat_arrays([none, pa.array(words, pa.binary()).cast(pa.string())]), "tf": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf, pa.int64())]),
-                    "doc_id": pa.concat_arrays([ids.slice(first, n).cast(pa.int64()), pa.nulls(k, pa.int64())]), "held_out": pa.concat_arrays([held.slice(first, n), pa.nulls(k, pa.bool_())]),
-                    "n_tokens": own(n_tokens, pa.int64()), "hot_known": own(n_known, pa.int64()), "hot_sum": own(np.array(sums) + base * np.array(n_tokens), pa.float64()), "score": own(scores, pa.float64()),
+                    "row": pa.array(np.r_[np.arange(row + first, row + first + n), np.array(word_rows, np.int64), row + first + cold_rows], pa.int64()),
+                    "word": pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.nulls(c, pa.string())]),
+                    "code": pa.concat_arrays([pa.nulls(n + k, pa.int64()), pa.array(cold_codes.astype(np.int64))]),
+                    "n": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf, pa.int64()), pa.array(code_tf, pa.int64())]),
+                    "doc_id": pa.concat_arrays([ids.slice(first, n).cast(pa.int64()), pa.nulls(k + c, pa.int64())]), "held_out": pa.concat_arrays([held.slice(first, n), pa.nulls(k + c, pa.bool_())]),
+                    "n_tokens": own(n_tokens, pa.int64()), "known": own(n_known, pa.int64()), "base": own(np.array(sums) + base * np.array(n_tokens), pa.float64()), "score": own(scores, pa.float64()),
                 })
             row += batch.num_rows
 
     return run
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 6, min_share: float = 3e-7, least_count: int = 6) -> tuple[Model, DataFrame, int, int]:
+def _look_up(shared_levels, order: int, least: int):
+    """What the words and codes of texts add to their rows, from the counts (rows without a row number) of the same part."""
+
+    def run(batches):
+        held = {True: ([], []), False: ([], [])}  # by whether it is a count: words and codes
+        for batch in batches:
+            row, word, code = (batch.column(i) for i in range(3))
+            count, is_word, is_code = row.is_null(), word.is_valid(), code.is_valid()
+            for what, column, kind in ((0, 1, is_word), (1, 2, is_code)):
+                for counts in (True, False):
+                    x = batch.filter(pc.and_(kind, count if counts else pc.invert(count)))
+                    if x.num_rows:
+                        held[counts][what].append((x.column(0), x.column(column), x.column(3)))
+            own = batch.filter(pc.and_not(pc.invert(is_word), is_code))
+            if own.num_rows:
+                yield own.select(["row", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+        joined = lambda parts: [pa.chunked_array(x).combine_chunks() for x in zip(*parts)]
+        rows, known, base, score = [], [], [], []
+        if held[False][0]:
+            r, w, tf = joined(held[False][0])
+            tf = tf.to_numpy()
+            rows.append(r.to_numpy())
+            at = np.full(len(w), -1)
+            if held[True][0]:
+                _, table, n = joined(held[True][0])
+                at = pc.fill_null(pc.index_in(w, value_set=table), -1).to_numpy()
+                logs = np.log10(n.to_numpy() + 1.0)
+                base.append(np.where(at >= 0, logs[at], 0.0) * tf)
+            else:
+                base.append(np.zeros(len(w)))
+            known.append(np.where(at >= 0, tf, 0))
+            score.append(np.zeros(len(w)))
+        if held[False][1]:
+            r, codes, tf = (x.to_numpy() for x in joined(held[False][1]))
+            own, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if held[True][1]:
+                own, n = (x.to_numpy() for x in joined(held[True][1])[1:])
+            distinct, of = np.unique(codes, return_inverse=True)
+            rows.append(r)
+            score.append(piece(received(shared_levels), own.astype(np.uint64), n, order, least).score(distinct.astype(np.uint64))[of] * tf)
+            base.append(np.zeros(len(r)))
+            known.append(np.zeros(len(r), np.int64))
+        if rows:
+            row, of = np.unique(np.concatenate(rows), return_inverse=True)
+            n = len(row)
+            sums = [np.bincount(of, np.concatenate(x), n) for x in (known, base, score)]
+            yield pa.RecordBatch.from_pydict({
+                "row": pa.array(row), "doc_id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_()), "n_tokens": pa.nulls(n, pa.int64()),
+                "known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1]), "score": pa.array(sums[2]),
+            })
+
+    return run
+
+
+def train(docs: DataFrame, text: str = "text", order: int = 6, min_share: float = 0.0, least_count: int = 1) -> tuple[Trained, DataFrame, int, int]:
     """The model of all texts of docs; the word counts (word, n) with the end token as a line break; N and V.
 
-    min_share is the model's resolution: the share of all positions that a run of bytes needs to become a node;
-    least_count is how often it has to occur at least, as rarer runs do not tell what follows.
+    By default every counted run is a node. A run can be left to the escape of its context if it has less than the share
+    min_share of all positions, or occurs less than least_count times.
     """
+    least = least_count
+    if min_share:
+        positions = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1)).first()[0] or 0
+        least = max(least_count, math.ceil(min_share * positions))
     found = docs.select(F.col(text).alias("text")).mapInArrow(_count(order, 300_000, 2_500_000), "word string, code long, n long")
     # each task has added up its own counts already: a second time before the shuffle would only cost memory
-    found = stored(found.repartition("word", "code").groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
-    words, runs = found.where("word is not null").select("word", "n"), found.where("code is not null").select("code", "n")
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    least = max(least_count, math.ceil(min_share * total))
-    level, levels, below = runs, {order: runs}, None
-    for k in range(order - 1, -1, -1):
-        level = level.groupBy(F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        if k == order - 1:
-            level = below = stored(level, "lm-level")
-        levels[k] = level
-    kept = None
-    for k, x in levels.items():
-        x = x.where(F.col("n") >= (least if k else 1)).select(F.lit(k).alias("k"), "code", "n")
-        kept = x if kept is None else kept.unionAll(x)
-    got = kept.toArrow()
-    if below is not None:
-        remove(below)
-    k, code, n = (got.column(c).to_numpy() for c in ("k", "code", "n"))
-    model = Model(order, [(code[k == j].astype(np.uint64), n[k == j]) for j in range(order + 1)])
+    found = found.withColumn("key", F.coalesce(context_key(F.col("code"), order), F.xxhash64("word")))
+    found = found.repartition("key").groupBy("key", "word", "code").agg(F.sum("n").alias("n"))
+    found = stored(found.mapInArrow(_top(least), "key long, word string, code long, n long, top double"), "lm-counts")
+    words = found.where("word is not null").select("word", "n")
+    model = Trained(order, found, least)
     size = words.agg(F.sum("n"), F.count("*")).first()
     return model, words, size[0] or 0, size[1]
 
 
-def score(docs: DataFrame, trained: tuple[Model, DataFrame, int, int], held_out, doc_id: str = "doc_id", text: str = "text", hot_share: float = 1e-6) -> DataFrame:
+def score(docs: DataFrame, trained: tuple[Trained, DataFrame, int, int], held_out, doc_id: str = "doc_id", text: str = "text", hot_share: float = 1e-6, frequent_share: float = 3e-7, part_rows: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
-    Words with at least the share hot_share of all training tokens (at most 1/hot_share words) are looked up in a
-    broadcast table; the others meet their counts by a join, in which no key has more than that share of rows.
+    Words with at least the share hot_share of all training tokens (at most 1/hot_share words), and runs with at least
+    frequent_share of all positions, are looked up in broadcast tables; all others meet their counts in the part that
+    has their key, so that no result depends on the shares. Parts have about part_rows rows.
     """
     model, words, n, v = trained
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     least = max(1, math.ceil(hot_share * n))
     hot = words.where(F.col("n") >= least).toArrow()
     hot = dict(zip(hot.column("word").cast(pa.binary()).to_pylist(), np.log10(hot.column("n").to_numpy() + 1.0).tolist()))
+    frequent = max(model.least, math.ceil(frequent_share * model.total))
+    top = model.runs.where(F.col("n") >= frequent).select("code", "top").toArrow()
+    top = (top.column("code").to_numpy().astype(np.uint64), np.r_[top.column("top").to_numpy(), 0.0])
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-    schema = "row long, word string, tf long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double"
-    rows = own.mapInArrow(_score(sent(docs.sparkSession, model), sc.broadcast(hot), model.order, -math.log10(n + v + 1)), schema)
-    cold = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
-    by_row = rows.join(cold, "word", "left").groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score")),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("cold_known"),
-        F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("cold_sum"),
-    )
-    return by_row.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("hot_sum") + F.coalesce("cold_sum", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    schema = "row long, word string, code long, n long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+    rows = own.mapInArrow(_score(sent(spark, top), sc.broadcast(hot), model.order, -math.log10(n + v + 1)), schema)
+    cold = words.where(F.col("n") < least)
+    rare = model.runs.agg(F.sum(F.when(F.col("n") < frequent, F.col("n"))), F.count("*")).first()
+    sent_rows = (rare[0] or 0) + rare[1] + (cold.agg(F.sum("n")).first()[0] or 0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sent_rows / part_rows))
+    counts = cold.select(F.lit(None).alias("row"), "word", F.lit(None).alias("code"), "n").unionAll(model.runs.select(F.lit(None), F.lit(None), "code", "n"))
+    key = F.coalesce(context_key(F.col("code"), model.order), F.xxhash64("word", "row"))
+    key = F.when(F.col("code").isNull() & F.col("word").isNotNull(), F.xxhash64("word")).otherwise(key)
+    met = rows.unionByName(counts, allowMissingColumns=True).repartition(parts, key)
+    met = met.mapInArrow(_look_up(sent(spark, model.shared), model.order, model.least), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    by_row = met.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("known", "base", "score")))
+    return by_row.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def adaptive_log10(text: bytes, order: int = 4) -> float:

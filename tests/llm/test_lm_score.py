@@ -102,3 +102,12 @@ def test_adaptive_scores(spark):
     docs = spark.createDataFrame([(1, "ab" * 50), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in L.adaptive_scores(docs).collect()}
     assert got[2] == pytest.approx(-math.log10(256)) and got[1] / 101 > -0.2
+
+
+def test_every_run_is_kept_whatever_the_corpus(spark):
+    texts = ["abcdefgh"] + ["the same text over and over again"] * 2000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    trained = L.train(docs)
+    for share in (3e-7, 0.01, 2.0):  # what is broadcast changes no result
+        rows = {r.doc_id: r for r in L.score(docs.where("doc_id < 2"), trained, F.lit(False), frequent_share=share).collect()}
+        assert all(rows[i].score == pytest.approx(brute(texts, texts[i], 6, 1), rel=1e-9) for i in (0, 1))

@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens in which numbers, units and names (capitalised words inside a sentence) are typed placeholders.
-Windows of WIDTH tokens of the benchmark's templates are looked up by hash in all documents; hits of one item along one
-alignment are counted, the tokens under the alignment are compared, and a slot's values have to map consistently: all
-places where the item repeats a value have one value in the document. So a question with other numbers or names is
-found, and chance repeats of a template are not.
+Texts become tokens in which units and runs of numbers and of names (capitalised words) are typed placeholders. The
+capitalised first word of a sentence may be a name or not: texts are compared in both readings. Windows of WIDTH tokens
+of the benchmark's templates are looked up by hash in all documents; hits of one item along alignments at most DRIFT
+apart are counted, the tokens under them are compared, and a slot's values have to map consistently: all places where
+the item repeats a value have one value in the document. So a question with other numbers or names, of any number of
+words, is found, and chance repeats of a template are not.
 
 The benchmark's windows are broadcast in blocks of at most most_windows; a larger benchmark takes more passes.
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import WordHashes, received, sent, windows
 
-WIDTH, LEAST_COVER, LEAST_CONSISTENT = 6, 0.4, 0.8
+WIDTH, LEAST_COVER, LEAST_CONSISTENT, DRIFT = 6, 0.4, 0.8, 4
+READINGS = FIRST_LITERAL, FIRST_NAME = range(2)
 LITERAL, NUMBER, UNIT, NAME = range(4)
 # Words for units and for numbers.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent $ € £ usd eur dollar dollars euro euros cent cents kb mb gb tb hz khz mhz ghz w kw mw v kv °c °f kmh mph".split())
@@ -51,7 +53,7 @@ class Canon(dict):
             self.clear()
         core = token.strip(EDGE)
         folded = core.casefold()
-        kind = NUMBER if NUMERIC.match(core) or folded in NUMBERS else UNIT if folded in UNITS else LITERAL
+        kind = NUMBER if NUMERIC.match(core) or folded in NUMBERS or "-" in folded and NUMBERS.issuperset(folded.split("-")) else UNIT if folded in UNITS else LITERAL
         value = (self.hashes[folded] & ~0xF) | kind
         if kind == LITERAL and core[:1].isupper() and not core.isupper():
             value |= 4
@@ -65,42 +67,59 @@ def tokens_of(text: str) -> list[str]:
     return (JOINED.sub(" ", text) if JOINED.search(text) else text).split()
 
 
-def canonical(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The template's hash and the kind of each token; starts: where texts begin, as the first word of a text is no name."""
+def canonical(values: np.ndarray, starts: np.ndarray, reading: int = FIRST_LITERAL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The template's hash, kind and value of each token or run of numbers or names, and the first token of each.
+
+    starts: where texts begin; the first word of a text or sentence is a name in one of the readings only.
+    """
     kind = (values & KIND).astype(np.int64)
-    capital = (values & CAPITAL) != 0
     inner = np.ones(len(values), bool)
     inner[1:] = (values[:-1] & STOP) == 0
     inner[starts[starts < len(values)]] = False
-    kind = np.where((kind == LITERAL) & capital & inner, NAME, kind)
+    kind = np.where((kind == LITERAL) & ((values & CAPITAL) != 0) & (inner | (reading == FIRST_NAME)), NAME, kind)
     kind[(kind == UNIT) & ~np.r_[False, kind[:-1] == NUMBER]] = LITERAL  # a unit follows a number
     plain = values & ~np.uint64(0xF)
-    return np.where(kind == LITERAL, plain, SLOT_HASH[kind]), kind
+    if len(values):
+        again = inner & np.r_[False, kind[1:] == kind[:-1]] & ((kind == NUMBER) | (kind == NAME))
+        first = np.flatnonzero(~again)
+        sizes = np.diff(np.r_[first, len(values)])
+        if len(first) < len(values):
+            powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(sizes.max() - 1, 0x9E3779B97F4A7C15, np.uint64)])
+            plain = np.add.reduceat(plain * powers[np.arange(len(values)) - np.repeat(first, sizes)], first)
+        kind = kind[first]
+    else:
+        first = np.zeros(0, np.int64)
+    return np.where(kind == LITERAL, plain, SLOT_HASH[kind]), kind, plain, first
 
 
 class Items:
-    """A block of benchmark items: their templates, and the windows of them by width."""
+    """A block of benchmark items: for each reading, their templates and the windows of them by width."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, least_literal: float):
         canon = Canon()
-        self.ids, self.template, self.kind, self.plain, self.windows = [], [], [], [], []
+        self.ids = [item_id for item_id, _ in items]
+        own = [np.array([canon[t] for t in tokens_of(text or "")], np.uint64) for _, text in items]
+        self.readings = {reading: Reading(own, reading, width, least_literal) for reading in READINGS}
+
+
+class Reading:
+    def __init__(self, items: list[np.ndarray], reading: int, width: int, least_literal: float):
+        self.kind, self.plain, self.windows = [], [], []
         found: dict[int, list] = defaultdict(list)
-        for item_id, text in items:
-            values = np.array([canon[t] for t in tokens_of(text or "")], np.uint64)
-            template, kind = canonical(values, np.zeros(1, np.int64))
-            i, size = len(self.ids), min(width, len(values))
-            self.ids.append(item_id)
-            self.template.append(template)
+        for i, values in enumerate(items):
+            template, kind, plain, _ = canonical(values, np.zeros(1, np.int64), reading)
+            size = min(width, len(template))
+            need = least_literal * min(width, len(values))  # of the tokens before runs are joined: joining makes no item looser
             self.kind.append(kind)
-            self.plain.append(values & ~np.uint64(0xF))
+            self.plain.append(plain)
             if not size:
                 self.windows.append(0)
                 continue
             literal = np.convolve(kind == LITERAL, np.ones(size), "valid")
-            self.windows.append(int((literal >= least_literal * size).sum()))
-            for at in np.flatnonzero(literal >= least_literal * size):
+            self.windows.append(int((literal >= need).sum()))
+            for at in np.flatnonzero(literal >= need):
                 found[size].append((int(windows(template[at : at + size], size)[0]), i, int(at)))
-            if kind[0] == LITERAL and values[0] & CAPITAL and literal[0] - 1 >= least_literal * size:
+            if kind[0] == LITERAL and values[0] & CAPITAL and literal[0] - 1 >= need:
                 # inside a document's sentence, the item's first word looks like a name
                 other = np.r_[SLOT_HASH[NAME], template[1:size]]
                 found[size].append((int(windows(other, size)[0]), i, 0))
@@ -115,6 +134,21 @@ class Items:
             self.by_width[size] = (seen, keys, dict(at))
 
 
+def chains(offsets: dict[int, set[int]]):
+    """Hits by offset as runs of offsets at most DRIFT apart: the item's windows and the offset of each."""
+    run: dict[int, int] = {}
+    last = None
+    for offset in sorted(offsets):
+        if last is not None and offset - last > DRIFT:
+            yield run
+            run = {}
+        for j in offsets[offset]:
+            run.setdefault(j, offset)
+        last = offset
+    if run:
+        yield run
+
+
 def matches(texts: list[str], items: Items, canon: Canon, least_cover: float, least_consistent: float):
     """(text's index, item's index, coverage, slots, slot agreement, verbatim) of all matches in some texts."""
     sizes, flat = [], []
@@ -123,40 +157,47 @@ def matches(texts: list[str], items: Items, canon: Canon, least_cover: float, le
         sizes.append(len(own))
         flat += own
     values = np.fromiter(map(canon.__getitem__, flat), np.uint64, len(flat))
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    template, kind = canonical(values, starts)
-    hits: dict[tuple[int, int, int], set[int]] = defaultdict(set)
-    for size, (seen, keys, at) in items.by_width.items():
-        h = windows(template, size)
-        maybe = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(maybe):
-            continue
-        i = np.searchsorted(keys, h[maybe])
-        maybe = maybe[keys[np.minimum(i, len(keys) - 1)] == h[maybe]]
-        doc = np.searchsorted(ends, maybe, "right")
-        inside = maybe + size <= ends[doc]
-        for p, d in zip(maybe[inside].tolist(), doc[inside].tolist()):
-            for item, j in at[int(h[p])]:
-                hits[d, item, p - j].add(j)
-    plain = values & ~np.uint64(0xF)
+    limits = np.cumsum(sizes)
     best: dict[tuple[int, int], tuple] = {}
-    for (d, item, offset), found in hits.items():
-        cover = len(found) / max(1, items.windows[item])
-        if cover < least_cover:
+    for reading, index in items.readings.items():
+        if not index.by_width:
             continue
-        lo, hi = max(offset, int(starts[d])), min(offset + len(items.kind[item]), int(ends[d]))
-        own = slice(lo - offset, hi - offset)
-        slot = (items.kind[item][own] != LITERAL) & (kind[lo:hi] == items.kind[item][own])
-        pairs = Counter(zip(items.plain[item][own][slot].tolist(), plain[lo:hi][slot].tolist()))
-        most: dict[int, int] = {}
-        for (a, _), n in pairs.items():
-            most[a] = max(most.get(a, 0), n)
-        slots = int(slot.sum())
-        agreement = sum(most.values()) / slots if slots else 1.0
-        verbatim = bool((items.plain[item][own] == plain[lo:hi]).mean() > 0.999) if hi > lo else False
-        if agreement >= least_consistent and (cover, agreement) > best.get((d, item), (0.0, 0.0)):
-            best[d, item] = (cover, agreement, slots, verbatim)
+        template, kind, plain, first = canonical(values, limits - sizes, reading)
+        ends, starts = np.searchsorted(first, limits), np.searchsorted(first, limits - sizes)
+        hits: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for size, (seen, keys, at) in index.by_width.items():
+            h = windows(template, size)
+            maybe = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if not len(maybe):
+                continue
+            i = np.searchsorted(keys, h[maybe])
+            maybe = maybe[keys[np.minimum(i, len(keys) - 1)] == h[maybe]]
+            doc = np.searchsorted(ends, maybe, "right")
+            inside = maybe + size <= ends[doc]
+            for p, d in zip(maybe[inside].tolist(), doc[inside].tolist()):
+                for item, j in at[int(h[p])]:
+                    hits[d, item][p - j].add(j)
+        for (d, item), offsets in hits.items():
+            for found in chains(offsets):
+                cover = len(found) / max(1, index.windows[item])
+                if cover < least_cover:
+                    continue
+                # each token of the item lies under the alignment of the hit before it, the first ones of the first hit
+                hit = np.array(sorted(found))
+                every = np.arange(len(index.kind[item]))
+                at = every + np.array([found[j] for j in hit.tolist()])[np.maximum(np.searchsorted(hit, every, "right") - 1, 0)]
+                inside = (at >= starts[d]) & (at < ends[d])
+                own_kind, own_plain, at = index.kind[item][inside], index.plain[item][inside], at[inside]
+                slot = (own_kind != LITERAL) & (kind[at] == own_kind)
+                pairs = Counter(zip(own_plain[slot].tolist(), plain[at][slot].tolist()))
+                most: dict[int, int] = {}
+                for (a, _), n in pairs.items():
+                    most[a] = max(most.get(a, 0), n)
+                slots = int(slot.sum())
+                agreement = sum(most.values()) / slots if slots else 1.0
+                verbatim = bool((own_plain == plain[at]).mean() > 0.999) if len(at) else False
+                if agreement >= least_consistent and (cover, agreement) > best.get((d, item), (0.0, 0.0)):
+                    best[d, item] = (cover, agreement, slots, verbatim)
     return [(d, item, *found) for (d, item), found in best.items()]
 
 

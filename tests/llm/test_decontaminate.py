@@ -57,3 +57,15 @@ def test_cleaning_and_odd_tables(spark):
     assert sorted(r.text for r in D.clean(docs, bench).collect()) == ["clean", "no id", "other row"]
     assert D.find(docs, bench).count() == 4
     assert D.clean(docs, bench.limit(0)).count() == 5 and D.find(docs.limit(0), bench).count() == 0
+
+
+CITY = "Paris is where the long train journey begins each morning, and Rome is where it ends. How many hours does a slow train need from Paris to Rome if 20 stops of 5 minutes are made on the way? Rome is far from Paris."
+FARM = "A farmer has 20 cows in the barn and 5 of them give no milk today because of the heat. Each other cow gives 12 jars and the farmer sells 20 of the jars at the market in town. How many jars are left for the farmer after 5 more fall down?"
+
+
+def test_values_of_other_lengths(spark):
+    city = CITY.replace("Paris", "New York").replace("Rome", "San Diego").replace("20", "one hundred")
+    farm = FARM.replace("20", "twenty five").replace("5 ", "thirty-six ", 1).replace("12", "forty two").replace("5 ", "thirty six ")
+    got = found(spark, [f"some words {city} and more", f"some words. {farm} And more", "a train journey to New York of 20 hours begins each morning"], [CITY, FARM])
+    assert set(got) == {(0, 0), (1, 1)} and not got[0, 0].verbatim
+    assert not found(spark, ["The Slow Cat sleeps"], ["The Quick Brown Fox Jumps Over The Lazy Dog"])

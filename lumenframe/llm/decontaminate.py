@@ -10,7 +10,8 @@ words, is found, and chance repeats of a template are not.
 The benchmark's windows are broadcast in blocks of at most most_windows; a larger benchmark takes more passes.
 
 Edge cases: null and empty texts have no tokens and match nothing; an item with fewer than WIDTH tokens is one window
-of its own size; items without least_literal literal tokens in a window cannot match by it; repeated documents each
+of its own size; windows with less than the share least_literal of literal tokens do not count as templates, and items with such
+windows are looked up by their plain tokens as well; repeated documents each
 have their rows; repeated items are different items with one text; an empty benchmark gives no rows.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import WordHashes, received, sent, windows
 
 WIDTH, LEAST_COVER, LEAST_CONSISTENT, DRIFT = 6, 0.4, 0.8, 4
-READINGS = FIRST_LITERAL, FIRST_NAME = range(2)
+READINGS = FIRST_LITERAL, FIRST_NAME, VERBATIM = range(3)
 LITERAL, NUMBER, UNIT, NAME = range(4)
 # Words for units and for numbers.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent $ € £ usd eur dollar dollars euro euros cent cents kb mb gb tb hz khz mhz ghz w kw mw v kv °c °f kmh mph".split())
@@ -70,8 +71,12 @@ def tokens_of(text: str) -> list[str]:
 def canonical(values: np.ndarray, starts: np.ndarray, reading: int = FIRST_LITERAL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The template's hash, kind and value of each token or run of numbers or names, and the first token of each.
 
-    starts: where texts begin; the first word of a text or sentence is a name in one of the readings only.
+    starts: where texts begin; the first word of a text or sentence is a name in one of the readings only, and all tokens
+    are literal in the verbatim one.
     """
+    if reading == VERBATIM:
+        plain = values & ~np.uint64(0xF)
+        return plain, np.full(len(values), LITERAL), plain, np.arange(len(values))
     kind = (values & KIND).astype(np.int64)
     inner = np.ones(len(values), bool)
     inner[1:] = (values[:-1] & STOP) == 0
@@ -99,12 +104,14 @@ class Items:
         canon = Canon()
         self.ids = [item_id for item_id, _ in items]
         own = [np.array([canon[t] for t in tokens_of(text or "")], np.uint64) for _, text in items]
-        self.readings = {reading: Reading(own, reading, width, least_literal) for reading in READINGS}
+        self.readings = {reading: Reading(own, reading, width, least_literal) for reading in (FIRST_LITERAL, FIRST_NAME)}
+        partial = [not all(r.whole[i] for r in self.readings.values()) for i in range(len(own))]
+        self.readings[VERBATIM] = Reading([v if p else v[:0] for v, p in zip(own, partial)], VERBATIM, width, least_literal)
 
 
 class Reading:
     def __init__(self, items: list[np.ndarray], reading: int, width: int, least_literal: float):
-        self.kind, self.plain, self.windows = [], [], []
+        self.kind, self.plain, self.windows, self.whole = [], [], [], []  # whole: whether all windows count
         found: dict[int, list] = defaultdict(list)
         for i, values in enumerate(items):
             template, kind, plain, _ = canonical(values, np.zeros(1, np.int64), reading)
@@ -114,12 +121,14 @@ class Reading:
             self.plain.append(plain)
             if not size:
                 self.windows.append(0)
+                self.whole.append(True)
                 continue
             literal = np.convolve(kind == LITERAL, np.ones(size), "valid")
             self.windows.append(int((literal >= need).sum()))
+            self.whole.append(bool((literal >= need).all()))
             for at in np.flatnonzero(literal >= need):
                 found[size].append((int(windows(template[at : at + size], size)[0]), i, int(at)))
-            if kind[0] == LITERAL and values[0] & CAPITAL and literal[0] - 1 >= need:
+            if reading != VERBATIM and kind[0] == LITERAL and values[0] & CAPITAL and literal[0] - 1 >= need:
                 # inside a document's sentence, the item's first word looks like a name
                 other = np.r_[SLOT_HASH[NAME], template[1:size]]
                 found[size].append((int(windows(other, size)[0]), i, 0))

@@ -69,3 +69,10 @@ def test_values_of_other_lengths(spark):
     got = found(spark, [f"some words {city} and more", f"some words. {farm} And more", "a train journey to New York of 20 hours begins each morning"], [CITY, FARM])
     assert set(got) == {(0, 0), (1, 1)} and not got[0, 0].verbatim
     assert not found(spark, ["The Slow Cat sleeps"], ["The Quick Brown Fox Jumps Over The Lazy Dog"])
+
+
+def test_verbatim_copies_of_names_and_numbers(spark):
+    items = ["The Quick Brown Fox Jumps Over The Lazy Dog", "12 15 Anna 18 21 Peter 24 27 Klaus 30"]
+    others = ["The Slow Brown Cat Sleeps Under The Lazy Dog", "13 15 Anna 19 21 Peter 25 27 Klaus 31"]
+    got = found(spark, [f"words {t} more words" for t in items + others], items)
+    assert set(got) == {(0, 0), (1, 1)} and all(r.verbatim and r.coverage == 1.0 for r in got.values())

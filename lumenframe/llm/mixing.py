@@ -5,7 +5,8 @@ of a cell is then kept with the cell's probability, by a hash of its id.
 
 Edge cases: a null source or language is the value "(none)"; a text without a known marker has topic "none"; a null or
 empty text has no tokens and weight as its cell; a null doc_id hashes as the empty string; repeated rows share one
-draw; target values that no document has are left out and the other targets scaled up; a cell whose documents have no
+draw; target values that no document has are left out and the other targets scaled up; values without a target, "(none)"
+too, keep their natural share where the targets leave no rest, and the targets share what remains; a cell whose documents have no
 tokens keeps weight 1; an empty table gives an empty result; columns that
 begin with mix_ are replaced.
 """
@@ -59,12 +60,18 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def target_shares(natural: Mapping[str, float], target) -> dict[str, float]:
-    """Shares of the values that occur: named ones as asked, the others in their natural proportion within the rest."""
+    """Shares of the values that occur: named ones as asked, the others in their natural proportion within the rest.
+
+    Where the named ones leave no rest, the others keep their natural share and the named ones are scaled to what remains.
+    """
     if target == "even":
         return {v: 1 / len(natural) for v in natural}
     named = {v: s for v, s in target.items() if v in natural}
     free = sum(natural.values()) - sum(natural[v] for v in named)
-    rest = max(0.0, 1 - sum(target.values()))
+    rest = 1 - sum(target.values())
+    if rest < 1e-9:
+        rest, whole = free, sum(named.values()) or 1.0
+        named = {v: s * (1 - free) / whole for v, s in named.items()}
     out = {v: named[v] if v in named else (rest * n / free if free else 0.0) for v, n in natural.items()}
     total = sum(out.values())
     return {v: s / total for v, s in out.items()} if total else dict(natural)
@@ -107,9 +114,12 @@ def rake_frame(cells: DataFrame, targets: Mapping, rounds: int) -> DataFrame:
             named = F.create_map(*[F.lit(x) for v, s in target.items() for x in (v, float(s))])
             natural = natural.withColumn("named", named[F.col(dim)])
             free, got = natural.agg(F.sum(F.when(F.col("named").isNull(), F.col("n"))), F.sum("named")).first()
-            rest = max(0.0, 1 - sum(target.values())) if free else 0.0
-            whole = (got or 0.0) + rest
-            natural = natural.withColumn("share", F.coalesce("named", F.col("n") * (rest / free if free else 0.0)) / whole if whole else F.col("n") / total)
+            rest, scale = 1 - sum(target.values()) if free else 0.0, 1.0
+            if free and rest < 1e-9:
+                rest = free / total
+                scale = (1 - rest) / (got or 1.0)
+            whole = (got or 0.0) * scale + rest
+            natural = natural.withColumn("share", F.coalesce(F.col("named") * scale, F.col("n") * (rest / free if free else 0.0)) / whole if whole else F.col("n") / total)
         shares[dim] = stored(natural.select(dim, "share"), "mix-shares")
     for _ in range(rounds):
         for dim in dims:

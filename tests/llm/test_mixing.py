@@ -48,3 +48,17 @@ def test_odd_tables(spark):
     assert len(got) == 4 and got[None, "a b\u00a0c ing"].mix_tokens == 3 and got[2, "x " * 100_000].mix_tokens == 100_000 and got[1, None].mix_tokens == 0
     assert M.mix(docs.limit(0)).count() == 0
     assert M.mix(docs.where("text = ''")).first().mix_probability == 0.5
+
+
+def test_null_and_unlisted_languages_keep_their_share(spark):
+    rows = [(i, "some words of a text " * (1 + i % 3), f"s{i % 2}", ["en", "fr", "de", "es", None, "it"][i % 6]) for i in range(120)]
+    rows += [(200 + i, "more words in another text", "hot", None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    a, b = (M.mix(docs, rounds=12, most_cells=n).toPandas().sort_values("doc_id") for n in (10**6, 3))
+    assert (a.mix_probability > 0).all() and np.allclose(a.mix_probability, b.mix_probability)
+    mass = a.mix_tokens * a.mix_probability * a.mix_weight
+    lang, source = (mass.groupby(a[c].fillna(M.NONE)).sum() / mass.sum() for c in ("lang", "source"))
+    natural = a.mix_tokens.groupby(a.lang.fillna(M.NONE)).sum() / a.mix_tokens.sum()
+    free = natural[M.NONE] + natural["it"]
+    want = {M.NONE: natural[M.NONE], "it": natural["it"]} | {k: v * (1 - free) for k, v in M.TARGETS["lang"].items()}
+    assert all(lang[k] == pytest.approx(v, abs=5e-3) for k, v in want.items()) and source["hot"] == pytest.approx(1 / 3, abs=0.02)

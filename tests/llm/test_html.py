@@ -33,11 +33,54 @@ def test_pages(page, want):
     assert H.extract_text(page, COST) == want
 
 
+FIVE = "".join(f"<p>Paragraph number {i} has a few ordinary words in it.</p>" for i in range(5))
+TEXT = " ".join(f"Paragraph number {i} has a few ordinary words in it." for i in range(5))
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a>About us</a></li></ul></nav>"
+MENU = "<div><ul>" + "".join(f"<li><a href=/{k}>Link to {k} page</a></li>" for k in range(12)) + "</ul></div>"
+
+
+@pytest.mark.parametrize("first,last", [
+    ("<div class='post comments-open'>", "</div>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div id='page-social'>", "</div>"), ("<article><section class='product reviews'>", "</section></article>"), ("<form action=/x>", "</form>"),
+    ("<form><div class=content>", "</div></form>"), ("<div class=search><form>", "</form></div>"),
+])
+@pytest.mark.parametrize("cost", [{}, COST])
+def test_names_are_evidence_and_no_verdict(first, last, cost):
+    assert H.extract_text(f"<html><body>{NAV}{first}{FIVE}{last}<footer>Foot notes here now</footer></body></html>", cost) == TEXT
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><h1>T</h1><p class='notice'>Notice<p>First paragraph of words here.<p>Second paragraph of words here.</article>", "T First paragraph of words here. Second paragraph of words here."),
+    ("<body><ul><li class='nav'>x<li>first real item of text here<li>second real item of text</ul><p>And a paragraph.</p></body>", "first real item of text here second real item of text And a paragraph."),
+    ("<table><tr><td class=ad>Buy it<td>The first cell holds some text<tr><td>and so does the second one</table>", "The first cell holds some text and so does the second one"),
+    (f"<main><h1>Head</h1><article>{FIVE}</article><p>Outro of the page is here.</p></main>", f"Head {TEXT} Outro of the page is here."),
+    (f"<article>{FIVE}</article><div class=ad>Buy this thing right now please</div><article><p>The second article has words also.</p></article>", f"{TEXT} The second article has words also."),
+    (f"<article>{FIVE}</article><p>Words between the two, no part of either.</p><article><p>The second.</p></article>", f"{TEXT} The second."),
+    (f"<article>{FIVE}<div id=comments><p>I disagree with all of this and more, so very much more than the text.</p></div></article>", TEXT),
+    ("<article><h1>T</h1><p>Short news item of ten words.</p><div id=comments><p>" + "I disagree " * 60 + "</p></div></article>", "T Short news item of ten words."),
+    (f"<article>{FIVE}<section class='comment-list'><article class=comment><p>A comment in an article of its own.</p></article></section></article>", TEXT),
+    (f"<header><p>Site of the day, a header</p></header><article><header><h1>Title</h1></header>{FIVE}<footer>Filed by someone</footer></article>", f"Title {TEXT}"),
+    (f"<nav><ul><li>never closed<article>{FIVE}</article>", TEXT),
+    (f"<article>{FIVE}<h2>See</h2><ul><li><a>One</a></li><li><a>Two</a></li></ul></article>", f"{TEXT} See One Two"),
+])
+@pytest.mark.parametrize("cost", [{}, COST])
+def test_blocks_and_omitted_end_tags(page, want, cost):
+    assert H.extract_text(page, cost) == want
+
+
+def test_trained_costs_beat_flat_ones(spark):
+    """Pages without names and content elements: what the labelled pages taught about tags finds the text."""
+    labelled = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    cost = H.train(labelled)
+    assert cost["li"] > 3 * cost["p"] and cost == {k: v for k, v in cost.items() if H.LEAST <= v <= H.WALL}
+    page = f"<body>{MENU}<div>{FIVE}</div>{MENU}</body>"
+    assert H.extract_text(page, cost) == TEXT and "Link to" in H.extract_text(page, {})
+
+
 def test_region_is_the_best_of_all_by_brute_force():
-    found = H.tokens("<li>a</li><li>b c</li><p>one two three</p><p>four five</p><div>x</div><li>y z</li>")
-    value = [len(v.split()) if k == "text" else -COST.get(v, H.LEAST) for k, v in found]
+    page = H.Page("<li>a</li><li>b c</li><p>one two three</p><p>four five</p><div>x</div><li>y z</li>")
+    value, _ = H.scored(page, COST)
     best = max((sum(value[i:j]), -i, -(j - i)) for i in range(len(value)) for j in range(i + 1, len(value) + 1))
-    start, end = H.best_region(found, COST)
+    start, end = H.best_region(value)
     assert sum(value[start:end]) == pytest.approx(best[0])
 
 

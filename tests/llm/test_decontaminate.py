@@ -16,7 +16,7 @@ def found(spark, texts, items, **settings):
 
 
 def test_slots(spark):
-    got = found(spark, [f"some words {ITEM} more words", f"other {VARIANT} end", f"other {MIXED} end", "the old market near the river", None, ""], [ITEM, None, ""], least_consistent=0.9)
+    got = found(spark, [f"some words {ITEM} more words", f"other {VARIANT} end", f"other {MIXED} end", "the old market near the river", None, ""], [ITEM, None, ""])
     assert set(got) == {(0, 0), (1, 0)} and not got[1, 0].verbatim and got[1, 0].slot_agreement == 1.0
 
 
@@ -76,3 +76,66 @@ def test_verbatim_copies_of_names_and_numbers(spark):
     others = ["The Slow Brown Cat Sleeps Under The Lazy Dog", "13 15 Anna 19 21 Peter 25 27 Klaus 31"]
     got = found(spark, [f"words {t} more words" for t in items + others], items)
     assert set(got) == {(0, 0), (1, 1)} and all(r.verbatim and r.coverage == 1.0 for r in got.values())
+
+
+def test_a_contradiction_rejects(spark):
+    item = "Maria bought seven red balloons at the fair before the rain began, and how many of them did Maria give away when 3 were lost and 3 more flew off?"
+    good = item.replace("Maria", "Robert").replace("3", "8")
+    half = item.replace("did Maria", "did Robert")
+    numbers = item.replace("3 were", "8 were")
+    longer = f"Yesterday in Old Berlin {item.replace('Maria', 'Robert')}"
+    got = found(spark, [item, good, half, numbers, f"x. {good} y", longer, f"some words {item} and"], [item])
+    assert {d for d, _ in got} == {0, 1, 4, 5, 6} and got[0, 0].verbatim and got[1, 0].slots >= 3
+
+
+NAMES = ("Anna", "Peter", "Klaus", "Maria", "Robert", "Julia")
+FORMS = (
+    "{a} has {x} boxes of chalk in the school room and {b} has {y} of them in the cellar. If {a} takes {x} out and {b} brings {y} back, how many boxes are there in the end?",
+    "On the way to the lake {a} walked {x} km and then met {b} who had walked {y} km. How far had {b} gone when {a} was {x} km from home?",
+    "The price of a ticket is {x} dollars, said {a}, but {b} paid {y} dollars for it. What did {b} lose if {y} dollars is more than {x} dollars?",
+)
+
+
+def brute(texts, items):
+    """(text, item) where the item's tokens stand one by one in the text, literal ones equal, slots with one value each."""
+    words = lambda t: [w.strip(D.EDGE) for w in t.split()]
+    out = set()
+    for i, item in enumerate(items):
+        own = words(item)
+        slot = [w in NAMES or w.isdigit() for w in own]
+        for d, text in enumerate(texts):
+            t = words(text)
+            for at in range(len(t) - len(own) + 1):
+                here = t[at : at + len(own)]
+                if all(s and (h in NAMES) == (w in NAMES) and h.isdigit() == w.isdigit() or w.lower() == h.lower() for w, h, s in zip(own, here, slot)):
+                    values = {}
+                    if all(values.setdefault(w, h) == h for w, h, s in zip(own, here, slot) if s):
+                        out.add((d, i))
+    return out
+
+
+def test_planted_variants_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    fill = lambda form, **k: form.format(**({"a": "Anna", "b": "Peter", "x": 4, "y": 9} | k))
+    items = [fill(f) for f in FORMS]
+    texts = []
+    for k in range(60):
+        form = rng.choice(FORMS)
+        a, b = rng.sample(NAMES, 2)
+        t = fill(form, a=a, b=b, x=rng.randint(1, 900), y=rng.randint(1, 900))
+        if k % 3 == 1:  # a contradiction: one of a value's places has another
+            t = t[::-1].replace(a[::-1], next(n for n in NAMES if n not in (a, b))[::-1], 1)[::-1]
+        if k % 3 == 2 and k % 2:
+            t = "the weather on that day was fine and nobody counted " + " ".join(t.split()[:8])
+        texts.append(f"some words come before it. {t} and some come after")
+    want = brute(texts, items)
+    assert len(want) >= 20 and set(found(spark, texts, items)) == want == set(found(spark, texts, items, most_windows=5))
+
+
+def test_hash_join_gives_the_same_rows(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    one, two = (sorted(map(tuple, D.find(docs, bench, most_windows=n).collect())) for n in (1_000_000, 1))
+    assert one == two and len(one) > 20
+    assert sorted(r.doc_id for r in D.clean(docs, bench, most_windows=1).collect()) == sorted(r.doc_id for r in D.clean(docs, bench).collect())

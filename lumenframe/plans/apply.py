@@ -117,6 +117,27 @@ def augment(df: DataFrame, plan: Transform, seed: int | None = None, epoch: int
     return df.select(*others, *OWN).mapInArrow(run, schema).select(*columns)
 
 
+def reports(df: DataFrame, validator) -> DataFrame:
+    """volume_id, ok, errors and warnings (the checks' names) and text of the validator's report on each volume, without a reference.
+
+    vol.issues() has the same findings as a column expression; this is for the messages.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.select(["volume_id", "shape"]).to_pylist()
+            out = []
+            for row, image, mask in zip(rows, views(batch.column("image")), views(batch.column("mask"))):
+                shaped = lambda a: None if a is None else a.reshape(row["shape"]) if a.size == np.prod(row["shape"]) else a  # noqa: B023, E731
+                found = validator.validate(Sample(shaped(image), shaped(mask)))
+                out.append((row["volume_id"], found.ok, [i.check for i in found.errors], [i.check for i in found.warnings], str(found)))
+            columns = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()))], ["volume_id", "ok", "errors", "warnings", "text"])
+
+    own = volumes(df).where("image is not null").select(F.col("volume_id").cast("long").alias("volume_id"), "shape", "image", "mask")
+    return own.mapInArrow(run, "volume_id long, ok boolean, errors array<string>, warnings array<string>, text string")
+
+
 def plan_steps(spark, plan: Transform) -> DataFrame:
     """path, name, params (as JSON) and depth of each node of a plan."""
     import json

@@ -1,6 +1,6 @@
 """One query for each operator over the test tables, and the same in SQL for DuckDB.
 
-embeddings rows are 8 x 8 images; eight consecutive ids are one 8 x 8 x 8 volume. Results are voxel rows. The SQL says
+embeddings rows are 8 x 8 images; four consecutive ids are one 4 x 8 x 8 volume, so that all rows are in one. Results are voxel rows. The SQL says
 each operator's formula on a table of voxels, with the draws written out, and shares no code with the kernels.
 """
 
@@ -18,7 +18,8 @@ from lumenframe.plans.node import Compose, Guard, OneOf, SomeOf, Transform
 from lumenframe.plans.presets import PRESETS
 from lumenframe.plans.validate import VolumeValidator
 
-SEED = 42
+SEED, DEPTH = 42, 4
+SIZES = {"z": DEPTH, "y": 8, "x": 8}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -32,8 +33,8 @@ def _mask(image: Column) -> Column:
 
 def _with_targets(df: DataFrame, ndim: int) -> DataFrame:
     """mask, spacing, modality, metadata; the brightest voxel as a keypoint, the foreground's bounds as a box."""
-    size = 8
-    coord = lambda i: F.array(*(((F.floor(i / size**k)) % size).cast("double") for k in range(ndim - 1, -1, -1)))
+    sizes = (8, 8) if ndim == 2 else (DEPTH, 8, 8)
+    coord = lambda i: F.array(*((F.floor(i / 8**k) % sizes[-1 - k]).cast("double") for k in range(ndim - 1, -1, -1)))
     df = df.withColumn("mask", _mask(F.col("image")))
     at = F.filter(F.transform("mask", lambda m, i: F.when(m > 0, i)), lambda i: i.isNotNull())
     places = F.transform(at, lambda i: coord(i))
@@ -42,7 +43,7 @@ def _with_targets(df: DataFrame, ndim: int) -> DataFrame:
     brightest = F.array_position("image", F.array_max("image")) - 1
     modality = F.element_at(F.array(*map(F.lit, ("MR", "CT", "DX", "DBT"))), (F.col("tag") % 4 + 1).cast("int"))
     return df.select(
-        "volume_id", F.array(*[F.lit(size)] * ndim).alias("shape"), "image", "mask", F.array(*[F.lit(1.0)] * ndim).alias("spacing"), modality.alias("modality"),
+        "volume_id", F.array(*map(F.lit, sizes)).alias("shape"), "image", "mask", F.array(*[F.lit(1.0)] * ndim).alias("spacing"), modality.alias("modality"),
         F.when(modality == "CT", F.create_map(F.lit("window_center"), F.lit("0.05"), F.lit("window_width"), F.lit("0.3"))).alias("metadata"),
         F.array(F.struct(coord(brightest).alias("coord"), F.lit("peak").alias("label"))).alias("keypoints"),
         F.when(F.size(at) > 0, F.array(F.struct(bound(F.array_min).alias("lo"), bound(F.array_max).alias("hi"), F.lit("foreground").alias("label")))).otherwise(F.array().cast(vol.BOXES)).alias("bboxes"),
@@ -55,8 +56,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 8).alias("volume_id"), "vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    df = df.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "e"))).alias("rows"), F.min("label").alias("tag")).where(F.size("rows") == 8)
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / DEPTH).alias("volume_id"), "vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
+    df = df.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "e"))).alias("rows"), F.min("label").alias("tag")).where(F.size("rows") == DEPTH)
     return _with_targets(df.select("volume_id", F.flatten(F.transform("rows", lambda r: r["e"])).alias("image"), "tag"), 3)
 
 
@@ -72,7 +73,7 @@ def voxel_rows(df: DataFrame) -> DataFrame:
 # --- building blocks of the SQL --------------------------------------------------------------------------------------
 
 V2 = "v AS MATERIALIZED (SELECT vec_id AS volume_id, 0 AS z, i // 8 AS y, i % 8 AS x, i, e AS v, CASE WHEN e > 0.2 THEN 2 WHEN e > 0.1 THEN 1 ELSE 0 END AS m, tag FROM (SELECT vec_id, label AS tag, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings))"
-V3 = "v AS MATERIALIZED (SELECT vec_id // 8 AS volume_id, vec_id % 8 AS z, i // 8 AS y, i % 8 AS x, (vec_id % 8) * 64 + i AS i, e AS v, CASE WHEN e > 0.2 THEN 2 WHEN e > 0.1 THEN 1 ELSE 0 END AS m FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings WHERE vec_id // 8 IN (SELECT vec_id // 8 FROM embeddings GROUP BY 1 HAVING count(*) = 8)))"
+V3 = f"v AS MATERIALIZED (SELECT vec_id // {DEPTH} AS volume_id, vec_id % {DEPTH} AS z, i // 8 AS y, i % 8 AS x, (vec_id % {DEPTH}) * 64 + i AS i, e AS v, CASE WHEN e > 0.2 THEN 2 WHEN e > 0.1 THEN 1 ELSE 0 END AS m FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings WHERE vec_id // {DEPTH} IN (SELECT vec_id // {DEPTH} FROM embeddings GROUP BY 1 HAVING count(*) = {DEPTH})))"
 
 
 def word(name: str, path: str = "0") -> str:
@@ -122,13 +123,13 @@ def bring_reflect(c: str, n: int = 8) -> str:
 def gather(out: str, coords: str, values: str, axes: str, fold=fold_reflect, column: str = "v") -> str:
     """A CTE: the rows of coords (with c_<axis> in range) with the linear interpolation o of the values, over all axes named."""
     corners = " CROSS JOIN ".join(f"(VALUES (0), (1)) t_{a}(d_{a})" for a in axes)
-    at = " AND ".join(f"w.{a} = {fold(f'(floor(c_{a})::BIGINT + d_{a})')}" for a in axes)
+    at = " AND ".join(f"w.{a} = {fold(f'(floor(c_{a})::BIGINT + d_{a})', str(SIZES[a]))}" for a in axes)
     other = " AND ".join(f"w.{a} = c.{a}" for a in "zyx" if a not in axes)
     weight = " * ".join(f"(CASE WHEN d_{a} = 1 THEN c_{a} - floor(c_{a}) ELSE 1 - (c_{a} - floor(c_{a})) END)" for a in axes)
     return f"{out} AS MATERIALIZED (SELECT c.volume_id, c.z, c.y, c.x, sum({weight} * w.{column}) AS o FROM {coords} c CROSS JOIN {corners} JOIN {values} w ON w.volume_id = c.volume_id AND {at}{' AND ' + other if other else ''} GROUP BY ALL)"
 
 
-def blur(out: str, source: str, axes: str, sigma: str, most: int, column: str = "v", n: int = 8) -> str:
+def blur(out: str, source: str, axes: str, sigma: str, most: int, column: str = "v") -> str:
     """CTEs: source blurred by a Gaussian of the rows' sigma along the axes; the last has column o."""
     parts, at, name = [], source, column
     for k, a in enumerate(axes):
@@ -136,8 +137,8 @@ def blur(out: str, source: str, axes: str, sigma: str, most: int, column: str =
         others = ", ".join(f"c.{b}" for b in "zyx" if b != a)
         parts.append(
             f"{new} AS MATERIALIZED (SELECT c.volume_id, {others}, t AS {a}, sum(g * c.{name}) / max(total) AS o FROM (SELECT *, sum(CASE WHEN first THEN g END) OVER (PARTITION BY volume_id) AS total FROM "
-            f"(SELECT volume_id, t, k, exp(-0.5 * (k / s) * (k / s)) AS g, t = 0 AS first FROM (SELECT DISTINCT volume_id, {sigma} AS s FROM v) CROSS JOIN range({n}) r(t) CROSS JOIN range({-most}, {most + 1}) q(k) WHERE abs(k) <= floor(4 * s + 0.5))) f "
-            f"JOIN {at} c ON c.volume_id = f.volume_id AND c.{a} = {fold_reflect('f.t + f.k', str(n))} GROUP BY c.volume_id, {others}, t)"
+            f"(SELECT volume_id, t, k, exp(-0.5 * (k / s) * (k / s)) AS g, t = 0 AS first FROM (SELECT DISTINCT volume_id, {sigma} AS s FROM v) CROSS JOIN range({SIZES[a]}) r(t) CROSS JOIN range({-most}, {most + 1}) q(k) WHERE abs(k) <= floor(4 * s + 0.5))) f "
+            f"JOIN {at} c ON c.volume_id = f.volume_id AND c.{a} = {fold_reflect('f.t + f.k', str(SIZES[a]))} GROUP BY c.volume_id, {others}, t)"
         )
         at, name = new, "o"
     return ", ".join(parts)
@@ -188,9 +189,9 @@ def _elastic(axes: str, alphas: list[float], sigmas: list[float]) -> tuple[list[
         ctes += [field(f"f{k}", "v", f"field{k}"), f"n{k} AS MATERIALIZED (SELECT volume_id, z, y, x, 2 * f{k} - 1 AS v FROM f{k})", blur(f"b{k}", f"n{k}", axes, f"{sigma!r}::DOUBLE", int(4 * sigma + 0.5)), f"e{k} AS (SELECT volume_id, z, y, x, {alpha!r}::DOUBLE * o AS d_{a} FROM b{k})"]
         joins += f" JOIN e{k} USING (volume_id, z, y, x)"
     ctes.append(f"raw AS MATERIALIZED (SELECT volume_id, z, y, x, {', '.join(f'{a} + d_{a} AS r_{a}' for a in axes)} FROM {joins})")
-    ctes.append(f"c AS MATERIALIZED (SELECT *, {', '.join(f'{bring_reflect(f"r_{a}")} AS c_{a}' for a in axes)} FROM raw)")
+    ctes.append(f"c AS MATERIALIZED (SELECT *, {', '.join(f'{bring_reflect(f"r_{a}", SIZES[a])} AS c_{a}' for a in axes)} FROM raw)")
     ctes.append(gather("g", "c", "v", axes))
-    ctes.append(f"k AS (SELECT c.volume_id, c.z, c.y, c.x, w.m FROM c JOIN v w ON w.volume_id = c.volume_id AND {' AND '.join(f'r_{a} BETWEEN 0 AND 7 AND w.{a} = floor(r_{a} + 0.5)' for a in axes)}{'' if 'z' in axes else ' AND w.z = c.z'})")
+    ctes.append(f"k AS (SELECT c.volume_id, c.z, c.y, c.x, w.m FROM c JOIN v w ON w.volume_id = c.volume_id AND {' AND '.join(f'r_{a} BETWEEN 0 AND {SIZES[a] - 1} AND w.{a} = floor(r_{a} + 0.5)' for a in axes)}{'' if 'z' in axes else ' AND w.z = c.z'})")
     return ctes, rows("(SELECT g.*, coalesce(k.m, 0) AS m FROM g LEFT JOIN k USING (volume_id, z, y, x))")
 
 
@@ -222,7 +223,7 @@ _bias = [
     field("f", "grid", "coarse"),
     "w AS (SELECT volume_id, z, y, x, 0.3 * (2 * f - 1) AS v FROM f)",
     "c AS MATERIALIZED (SELECT volume_id, z, y, x, least(y * (3.0::DOUBLE / 7.0::DOUBLE), 3) AS c_y, least(x * (3.0::DOUBLE / 7.0::DOUBLE), 3) AS c_x FROM v)",
-    gather("g", "c", "w", "yx", lambda i: f"least({i}, 3)"),
+    gather("g", "c", "w", "yx", lambda i, _: f"least({i}, 3)"),
 ]
 leaf("bias_field", o.BiasField(alpha=0.3, coarse_shape=4, order=1), _bias, rows("v JOIN g USING (volume_id, z, y, x)", "v * exp(o)"))
 leaf("bias_field_cubic", o.BiasField(alpha=0.3, coarse_shape=4, order=3), None, None)
@@ -237,7 +238,7 @@ _low = [
     "c AS MATERIALIZED (SELECT DISTINCT volume_id, 0 AS z, y, x, y * (7.0::DOUBLE / 3.0::DOUBLE) AS c_y, x * (7.0::DOUBLE / 3.0::DOUBLE) AS c_x FROM v WHERE y < 4 AND x < 4)",
     gather("g", "c", "v", "yx"),
     "e AS MATERIALIZED (SELECT volume_id, z, y, x, m, least(y * (3.0::DOUBLE / 7.0::DOUBLE), 3) AS c_y, least(x * (3.0::DOUBLE / 7.0::DOUBLE), 3) AS c_x FROM v)",
-    gather("t", "e", "g", "yx", lambda i: f"least({i}, 3)", "o"),
+    gather("t", "e", "g", "yx", lambda i, _: f"least({i}, 3)", "o"),
 ]
 leaf("simulate_low_resolution", o.SimulateLowResolution(zoom_range=(0.5, 0.5)), _low, rows("t JOIN v USING (volume_id, z, y, x)"))
 leaf("median_blur", o.MedianBlur(ksize=3), ["b AS (SELECT c.volume_id, c.z, c.y, c.x, c.m, quantile_cont(w.v, 0.5) AS o FROM v c CROSS JOIN range(-1, 2) q(dy) CROSS JOIN range(-1, 2) r(dx) JOIN v w ON w.volume_id = c.volume_id AND w.y = " + fold_reflect("c.y + dy") + " AND w.x = " + fold_reflect("c.x + dx") + " GROUP BY ALL)"], rows("b"))
@@ -292,7 +293,7 @@ leaf("slice_dropout", o.SliceDropout(num_slices=(1, 3), cval=-1.0, affect_mask=T
 _compress = [
     f"c AS MATERIALIZED (SELECT *, (y - 3.5) / {uniform('scale', 0.85, 1.15)} + 3.5 AS r FROM v)",
     "e AS MATERIALIZED (SELECT volume_id, z, y, x, least(7, greatest(0, r)) AS c_y FROM c)",
-    gather("g", "e", "v", "y", lambda i: f"least({i}, 7)"),
+    gather("g", "e", "v", "y", lambda i, _: f"least({i}, 7)"),
     "k AS (SELECT c.volume_id, c.z, c.y, c.x, w.m FROM c JOIN v w ON w.volume_id = c.volume_id AND w.z = c.z AND w.x = c.x AND r BETWEEN 0 AND 7 AND w.y = floor(r + 0.5))",
 ]
 leaf("compression_variation", o.CompressionVariation(), _compress, rows("(SELECT g.*, coalesce(k.m, 0) AS m FROM g LEFT JOIN k USING (volume_id, z, y, x))"), dims=3)
@@ -445,7 +446,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _summary_sql = f"WITH {', '.join([V2, *_compose])} SELECT volume_id, {shown('avg(o)')} AS mean, {shown('min(o)')} AS low, {shown('max(o)')} AS high, (min(o) = max(o)) AS bad FROM (SELECT volume_id, {_composed} AS o FROM na) GROUP BY volume_id"
 
 
-@query("plan_summary", _summary_sql)
+@query("plan_statistics", _summary_sql)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image's mean, extremes and validity after a plan of a flip, a gamma correction and noise."""
     df = augment(images(spark, sf_dir), _flip_gamma_noise)

@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SLICES = "path string, series_uid string, study_uid string, patient_id string, modality string, vendor string, ipp array<double>, iop array<double>, slice_location double, instance_number double, pixel_spacing array<double>, thickness double, slope double, intercept double, window_center double, window_width double, frames int, rows int, columns int, pixels array<float>"
 # Transfer syntaxes and tags of the standard.
@@ -82,12 +81,12 @@ def _skip(data: bytes, at: int, explicit: bool) -> int:
     return at
 
 
-def decode(path: str, content: bytes) -> dict | None:
-    """A row of SLICES; None for what is no readable image."""
+def decode(path: str, content: bytes) -> dict:
+    """A row of SLICES; ValueError for what is no readable image."""
     try:
         found = dict(elements(content))
         if "pixels" not in found:
-            return None
+            raise ValueError("no pixel data")
         text = lambda n: found[n].decode("latin-1").strip("\0 ") or None if n in found else None
         numbers = lambda n: [float(x) for x in text(n).split("\\")] if text(n) else None
         number = lambda n: numbers(n)[0] if text(n) else None
@@ -95,8 +94,8 @@ def decode(path: str, content: bytes) -> dict | None:
         frames = int(number("frames") or 1)
         kind = np.dtype(("<i" if whole["signed"] else "<u") + str(max(8, whole["bits"]) // 8))
         pixels = np.frombuffer(found["pixels"], kind, frames * whole["rows"] * whole["columns"]).astype(np.float32)
-    except (ValueError, KeyError, struct.error, TypeError):
-        return None
+    except (KeyError, struct.error, TypeError) as e:
+        raise ValueError(f"not a DICOM image: {e}") from e
     return {
         "path": path, "series_uid": text("series_uid"), "study_uid": text("study_uid"), "patient_id": text("patient_id"), "modality": text("modality"), "vendor": text("vendor"), "ipp": numbers("ipp"), "iop": numbers("iop"),
         "slice_location": number("slice_location"), "instance_number": number("instance_number"), "pixel_spacing": numbers("pixel_spacing"), "thickness": number("thickness"), "slope": number("slope"), "intercept": number("intercept"), "window_center": number("window_center"), "window_width": number("window_width"),
@@ -104,21 +103,44 @@ def decode(path: str, content: bytes) -> dict | None:
     }
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the files under path that may be DICOM: .dcm and .dicom files, and names without a dot."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    last = F.element_at(F.split("path", "/"), -1)
+    return files.where(~last.startswith(".") & (F.lower(last).rlike(r"\.(dcm|dicom)$") | ~last.contains("."))).select("path", "content")
+
+
 def load_slices(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each readable DICOM image under path: .dcm and .dicom files, and names without a dot."""
+    """One row for each readable DICOM image under path. unreadable() has the other files."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = decode(name, content.as_buffer().to_pybytes())
-                if row:
-                    values = row.pop("pixels")
-                    own = pa.Table.from_pylist([row], pa.schema([(f.split(" ")[0], KINDS[f.split(" ")[1]]) for f in SLICES.split(", ")[:-1]]))
-                    yield own.append_column("pixels", pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))).to_batches()[0]
+                try:
+                    row = decode(name, content.as_buffer().to_pybytes())
+                except ValueError:
+                    continue
+                values = row.pop("pixels")
+                own = pa.Table.from_pylist([row], pa.schema([(f.split(" ")[0], KINDS[f.split(" ")[1]]) for f in SLICES.split(", ")[:-1]]))
+                yield own.append_column("pixels", pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))).to_batches()[0]
+
+    return listed(spark, path).mapInArrow(run, SLICES)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    last = F.element_at(F.split("path", "/"), -1)
-    return files.where(~last.startswith(".") & (F.lower(last).rlike(r"\.(dcm|dicom)$") | ~last.contains("."))).select("path", "content").mapInArrow(run, SLICES)
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """path and fault of the files under path that load_slices() leaves out."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    decode(name, content.as_buffer().to_pybytes())
+                except ValueError as e:
+                    found.append((name, str(e)))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([n for n, _ in found], pa.string()), "fault": pa.array([f for _, f in found], pa.string())})
+
+    return listed(spark, path).mapInArrow(run, "path string, fault string")
 
 
 KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
@@ -132,41 +154,56 @@ def slice_position() -> Column:
     return F.coalesce(sum((F.get(p, F.lit(i)) * n for i, n in enumerate(normal)), F.lit(0.0)), F.col("slice_location"), F.col("instance_number"), F.lit(0.0))
 
 
+def series_key() -> Column:
+    """The series' UID; without one, the folder of the file."""
+    return F.coalesce(F.nullif("series_uid", F.lit("")), F.concat(F.lit("folder:"), F.regexp_replace("path", "/[^/]*$", "")))
+
+
+def faulty_series(slices: DataFrame) -> DataFrame:
+    """key and fault of the series that stacked() leaves out."""
+    sizes = slices.groupBy(series_key().alias("key")).agg(F.count_distinct("rows", "columns").alias("sizes"), F.count("*").alias("n"), F.max("frames").alias("frames"))
+    fault = F.when(F.col("sizes") > 1, "slices of a series differ in size").when((F.col("n") > 1) & (F.col("frames") > 1), "several images with frames in one series")
+    return sizes.withColumn("fault", fault).where("fault is not null").select("key", "fault")
+
+
 def stacked(slices: DataFrame) -> DataFrame:
     """One volume for each series, as from load_slices(): slices in order, rescaled, with the spacing of their positions.
 
     Values are pixel x slope + intercept, with the first slice's where a slice has none. The distance of slices is the
-    median of the differences of their positions, else the slice thickness, else 1. The first slice's window is in
-    columns of its own; to have WindowLevel use it, put it in the metadata.
+    median of the differences of their positions, else the slice thickness, else 1. Files without a series UID are a
+    series for each folder. Series whose slices cannot be stacked are left out: faulty_series() has them. The
+    first slice's window is in columns of its own; to have WindowLevel use it, put it in the metadata. Pixels are shuffled once, to their series.
     """
-    key = F.coalesce("series_uid", F.lit(""))
-    by = Window.partitionBy("key").orderBy("position", "path")
-    every = Window.partitionBy("key").orderBy("position", "path").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = lambda c, otherwise: F.coalesce(F.col(c), F.first(c).over(every), F.lit(otherwise))
-    df = slices.withColumns({"key": key, "position": slice_position()})
-    df = df.withColumns({"step": F.abs(F.col("position") - F.lag("position").over(by)), "a": first("slope", 1.0), "b": first("intercept", 0.0)})
-    df = df.withColumn("values", F.transform("pixels", lambda v: (v * F.col("a") + F.col("b")).cast("float")))
-    row = F.struct("position", "path", "values", "slope", "intercept", "rows", "columns", "frames", "pixel_spacing", "thickness", "window_center", "window_width", "modality", "vendor", "patient_id", "study_uid", "series_uid")
-    df = df.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("s"), F.percentile("step", 0.5).alias("step"), F.count_distinct("rows", "columns").alias("sizes"))
+    row = F.struct(slice_position().alias("position"), "path", "pixels", "slope", "intercept", "rows", "columns", "frames", "pixel_spacing", "thickness", "window_center", "window_width", "modality", "vendor", "patient_id", "study_uid", "series_uid")
+    df = slices.groupBy(series_key().alias("key")).agg(F.sort_array(F.collect_list(row)).alias("s"))
     f = lambda c: F.col("s")[0][c]
-    many, frames = F.size("s") > 1, f("frames")
+    n = F.size("s")
+    df = df.where(F.forall("s", lambda x: (x["rows"] == f("rows")) & (x["columns"] == f("columns")) & ((n == 1) | (x["frames"] == 1))))
+    gaps = F.array_sort(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.abs(F.col("s")[i]["position"] - F.col("s")[i - 1]["position"])))
+    df = df.withColumn("gaps", F.when(n > 1, gaps))
+    half = F.floor((n - 2) / 2).cast("int")
+    step = F.when(n > 1, (F.get("gaps", half) + F.get("gaps", n - 2 - half)) / 2)
+    many, frames = n > 1, f("frames")
     plane = [F.coalesce(f("pixel_spacing")[i], F.lit(1.0)) for i in (0, 1)]
-    thick = F.coalesce(F.when(many & (F.col("step") > 0), F.col("step")), f("thickness"), F.lit(1.0))
-    ok = F.when(F.col("sizes") == 1, F.lit(True)).otherwise(F.raise_error("slices of a series differ in size")).cast("boolean")
-    facts = {"source": F.lit("dicom"), "modality": f("modality"), "vendor": f("vendor"), "patient_id": f("patient_id"), "study_uid": f("study_uid"), "series_uid": f("series_uid"), "rescale_slope": f("slope").cast("string"), "rescale_intercept": f("intercept").cast("string"), "num_slices": F.when(many, F.size("s").cast("string"))}
+    thick = F.coalesce(F.when(many & (step > 0), step), f("thickness"), F.lit(1.0))
+    own = lambda x, c, otherwise: F.coalesce(x[c], f(c), F.lit(otherwise))
+    values = F.transform("s", lambda x: F.transform(x["pixels"], lambda v: (v * own(x, "slope", 1.0) + own(x, "intercept", 0.0)).cast("float")))
+    facts = {"source": F.lit("dicom"), "modality": f("modality"), "vendor": f("vendor"), "patient_id": f("patient_id"), "study_uid": f("study_uid"), "series_uid": f("series_uid"), "rescale_slope": f("slope").cast("string"), "rescale_intercept": f("intercept").cast("string"), "num_slices": F.when(many, n.cast("string"))}
     metadata = F.map_filter(F.create_map(*(x for k, v in facts.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
-    return df.where(ok).select(
-        F.xxhash64("key").alias("volume_id"), F.when(many, F.array(F.size("s"), f("rows"), f("columns"))).when(frames > 1, F.array(frames, f("rows"), f("columns"))).otherwise(F.array(f("rows"), f("columns"))).alias("shape"),
-        F.flatten(F.transform("s", lambda x: x["values"])).alias("image"), F.when(many | (frames > 1), F.array(thick, *plane)).otherwise(F.array(*plane)).alias("spacing"), f("modality").alias("modality"), metadata.alias("metadata"), f("window_center").alias("window_center"), f("window_width").alias("window_width"),
+    return df.select(
+        F.xxhash64("key").alias("volume_id"), F.when(many, F.array(n, f("rows"), f("columns"))).when(frames > 1, F.array(frames, f("rows"), f("columns"))).otherwise(F.array(f("rows"), f("columns"))).alias("shape"),
+        F.flatten(values).alias("image"), F.when(many | (frames > 1), F.array(thick, *plane)).otherwise(F.array(*plane)).alias("spacing"), f("modality").alias("modality"), metadata.alias("metadata"), f("window_center").alias("window_center"), f("window_width").alias("window_width"),
     )
 
 
 def load_dicom_series(spark: SparkSession, path: str) -> DataFrame:
-    """The one volume under path; an error if there is no readable image or more than one series."""
+    """The one volume under path; an error if there is no readable image, more than one series, or one that cannot be stacked."""
     slices = load_slices(spark, path)
     found = [r[0] for r in slices.select("series_uid").where("series_uid is not null").distinct().limit(2).collect()]
     if len(found) > 1:
         raise ValueError("there is more than one series; use stacked(load_slices(...)) for all of them")
     if not found and not slices.limit(1).count():
         raise FileNotFoundError(f"no readable DICOM image under {path}")
+    if fault := faulty_series(slices).first():
+        raise ValueError(fault.fault)
     return stacked(slices)

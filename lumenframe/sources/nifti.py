@@ -6,9 +6,7 @@ Files are read with Spark's binaryFile source, so any file system will do, and d
 from __future__ import annotations
 
 import gzip
-import os
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.plans.apply import views
+from lumenframe.sources.files import write_files
 
 SCHEMA = "path string, shape array<int>, image array<float>, spacing array<double>, modality string, metadata map<string,string>, affine array<double>"
 # Data type codes of the format.
@@ -113,22 +112,5 @@ def to_nifti(df: DataFrame, name: str = "volume_id") -> DataFrame:
 
 
 def save_nifti(df: DataFrame, folder: str, name: str = "volume_id") -> DataFrame:
-    """Writes a file for each volume into a folder that all executors share; returns the rows name and bytes, once written.
-
-    Each file is written under another name and then renamed, so retried tasks leave whole files.
-    """
-    folder = folder.removeprefix("file://")
-
-    def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for n, content in zip(names, batch.column(1).to_pylist()):
-                part = os.path.join(folder, f".{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, os.path.join(folder, n))
-            yield pa.RecordBatch.from_pydict({"name": pa.array(names), "bytes": pa.array([len(c) for c in batch.column(1).to_pylist()], pa.int64())})
-
-    written = to_nifti(df, name).mapInArrow(run, "name string, bytes long")
-    return df.sparkSession.createDataFrame(written.collect(), "name string, bytes long")
+    """Writes a .nii.gz file for each volume into a folder (a path or a URI of a shared file system); the rows name and bytes, once written."""
+    return write_files(to_nifti(df, name), folder)

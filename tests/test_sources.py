@@ -69,4 +69,6 @@ def test_dicom_errors(spark, tmp_path):
     (tmp_path / "x.dcm").write_bytes(b"nothing")
     with pytest.raises(FileNotFoundError):
         dicom.load_dicom_series(spark, str(tmp_path))
-    assert dicom.decode("x", file_of(0, syntax="1.2.840.10008.1.2.4.50")) is None
+    with pytest.raises(ValueError, match="not supported"):
+        dicom.decode("x", file_of(0, syntax="1.2.840.10008.1.2.4.50"))
+    assert dicom.unreadable(spark, str(tmp_path)).first().fault.startswith(("no pixel data", "not a DICOM"))

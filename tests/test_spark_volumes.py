@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import operators as o
 from lumenframe import queries as q
+from lumenframe import query_sources as qs
 from lumenframe.functions import volumes as vol
 from lumenframe.functions.draws import Draws
 from lumenframe.plans.apply import augment
@@ -118,11 +119,14 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> bool:
     return all((a[c] == b[c]).all() if a[c].dtype == object or a[c].dtype.kind not in "fi" else np.allclose(a[c].astype(float), b[c].astype(float), atol=2e-6) for c in cols)
 
 
-@pytest.mark.parametrize("name", sorted(q.QUERIES))
+ALL, SQL = q.QUERIES | qs.QUERIES, q.ORACLE_SQL | qs.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_queries_against_sql(spark, name):
-    got = q.QUERIES[name](spark, SF).toPandas()
+    got = ALL[name](spark, SF).toPandas()
     assert len(got)
-    if name in q.ORACLE_SQL:
+    if name in SQL:
         con = duckdb.connect()
         con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-        assert same(got, con.execute(q.ORACLE_SQL[name]).fetchdf())
+        assert same(got, con.execute(SQL[name]).fetchdf())

@@ -97,3 +97,35 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     docs = corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == brute(docs)
+
+
+def test_repeated_ids_with_several_texts(spark):
+    """Two texts of one id that is the smallest of both: each links its own near copies, and the id links the two groups."""
+    words = [f"w{k}" for k in range(240)]
+    one, two = " ".join(words[:120]), " ".join(words[120:])
+    near = lambda t: t.replace(" w60 ", " changed ").replace(" w180 ", " changed ")
+    rows = [(1, one), (1, two), (5, near(one)), (6, near(two)), (7, "nothing like it " * 9), (8, one)]
+    got = {(r.doc_id, r.class_id) for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 7), (8, 1)}
+    assert sorted(r.doc_id for r in N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 7]
+
+
+def test_recall_of_planted_edits(spark):
+    """Texts of 150 words with some words changed, alone or in one place: links against plain Jaccard similarity."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], {}
+    for k in range(240):
+        words = [f"t{rng.integers(0, 3000)}" for _ in range(150)]
+        other = list(words)
+        n = k % 6
+        at = rng.choice(150, n, replace=False) if k % 2 else rng.integers(0, 140) + np.arange(n)
+        for i in at:
+            other[i] = f"x{rng.integers(0, 3000)}"
+        grams = [{tuple(w[i : i + 5]) for i in range(146)} for w in (words, other)]
+        pairs[k] = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k: got[2 * k] == got[2 * k + 1] for k in pairs}
+    similar = [k for k, j in pairs.items() if j >= 0.8]
+    assert len(similar) > 100 and np.mean([linked[k] for k in similar]) >= 0.97
+    assert not any(linked[k] for k, j in pairs.items() if j < 0.77)

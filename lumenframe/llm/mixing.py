@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token counts of the cells (source, language, topic) are raked until each marginal has its target shares; each document
-of a cell is then kept with the cell's probability, by a hash of its id.
+of a cell is then kept with the cell's probability, by a hash of its id. A probability is at most 1: so a target that
+asks for more tokens of a value than there are is lowered to all of them, and the other values share what it leaves.
+All of this is aggregates and joins of the cells, whatever their number.
 
 Edge cases: a null source or language is the value "(none)"; a text without a known marker has topic "none"; a null or
 empty text has no tokens and weight as its cell; a null doc_id hashes as the empty string; repeated rows share one
@@ -17,19 +19,18 @@ from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lumenframe.llm.common import stored
+from lumenframe.llm.common import remove, stored
 
 NONE = "(none)"
 #: Production settings: markers of each topic, target shares ("even", or shares by value), rounds of raking.
 TOPICS = {"process": ("ing", "ung", "ando", "ant "), "abstract": ("tion", "ción", "heit", "keit"), "relation": (" of ", " de ", " von ", " in ")}
 TARGETS = {"source": "even", "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": "even"}
-ROUNDS, KEEP = 12, 0.5
+ROUNDS, KEEP, PASSES = 12, 0.5, 6
 
 
 def topic_of(text: bytes, topics: Mapping[str, tuple[str, ...]] = TOPICS) -> str:
@@ -59,99 +60,89 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def target_shares(natural: Mapping[str, float], target) -> dict[str, float]:
-    """Shares of the values that occur: named ones as asked, the others in their natural proportion within the rest.
+def raw_shares(natural: DataFrame, dim: str, target, total: int) -> DataFrame:
+    """dim and share of the values that occur (dim, n): named ones as asked, the others in their natural proportion within the rest.
 
     Where the named ones leave no rest, the others keep their natural share and the named ones are scaled to what remains.
     """
     if target == "even":
-        return {v: 1 / len(natural) for v in natural}
-    named = {v: s for v, s in target.items() if v in natural}
-    free = sum(natural.values()) - sum(natural[v] for v in named)
-    rest = 1 - sum(target.values())
+        return natural.select(dim, "n", F.lit(1.0 / max(1, natural.count())).alias("share"))
+    named = F.create_map(*[F.lit(x) for v, s in target.items() for x in (v, float(s))])
+    natural = natural.withColumn("named", named[F.col(dim)])
+    free, got = natural.agg(F.sum(F.when(F.col("named").isNull(), F.col("n"))), F.sum("named")).first()
+    free, got, rest, scale = free or 0, got or 0.0, 1 - sum(target.values()), 1.0
     if rest < 1e-9:
-        rest, whole = free, sum(named.values()) or 1.0
-        named = {v: s * (1 - free) / whole for v, s in named.items()}
-    out = {v: named[v] if v in named else (rest * n / free if free else 0.0) for v, n in natural.items()}
-    total = sum(out.values())
-    return {v: s / total for v, s in out.items()} if total else dict(natural)
-
-
-def rake(cells: list[dict], targets: Mapping, rounds: int) -> np.ndarray:
-    """The weight of each cell; cells hold a value for each target dimension, and tokens."""
-    n = np.array([c["tokens"] for c in cells], float)
-    w, total = np.ones(len(cells)), n.sum()
-    if not total:
-        return w
-    by = []
-    for dim, target in targets.items():
-        values = sorted({c[dim] for c in cells})
-        at = {v: i for i, v in enumerate(values)}
-        of = np.array([at[c[dim]] for c in cells])
-        natural = dict(zip(values, np.bincount(of, n) / total))
-        shares = target_shares({v: s for v, s in natural.items() if s > 0}, target)
-        by.append((of, np.array([shares.get(v, 0.0) for v in values])))
-    for _ in range(rounds):
-        for of, share in by:
-            mass = np.bincount(of, n * w, len(share))
-            w = w * np.where(mass > 0, share * total / np.where(mass > 0, mass, 1), 1)[of]
-    return w
-
-
-def rake_frame(cells: DataFrame, targets: Mapping, rounds: int) -> DataFrame:
-    """rake() by DataFrame operations, for more cells than the driver should hold: the cells with the column w."""
-    dims = list(targets)
+        rest = free / total
+        scale = (1 - rest) / got if got else 1.0
+    whole = got * scale + (rest if free else 0.0)
+    return natural.select(dim, "n", ((F.coalesce(F.col("named") * scale, F.col("n") * (rest / free if free else 0.0))) / whole if whole else F.col("n") / total).alias("share"))
+
+
+def feasible(shares: DataFrame, dim: str, total: int, keep: float, passes: int = PASSES) -> DataFrame:
+    """dim and share: no value gets more than all of its tokens (its natural share / keep); the others divide what it leaves."""
+    out = shares.select(dim, "share", (F.col("n") / total / keep).alias("cap")).withColumn("full", F.lit(False))
+    out = stored(out, "mix-shares")
+    for _ in range(passes):
+        capped, free = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share")))).first()
+        scale = (1 - (capped or 0.0)) / free if free else 0.0
+        own = F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale)
+        new = stored(out.select(dim, "share", "cap", (F.col("full") | (own > F.col("cap"))).alias("full")), "mix-shares")
+        more = new.where("full").count() - out.where("full").count()
+        remove(out)
+        out = new
+        if not more:
+            break
+    capped, free = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share")))).first()
+    scale = (1 - (capped or 0.0)) / free if free else 0.0
+    done = stored(out.select(dim, F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale).alias("share")), "mix-shares")
+    remove(out)
+    return done
+
+
+def rake(cells: DataFrame, targets: Mapping, keep: float, rounds: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """cells (the dimensions and tokens) with their weights w, stored; and the feasible target shares of each dimension.
+
+    A weight is at most 1 / keep, so that keep x w is a probability. Nothing here is held in the driver but sums.
+    """
+    dims, most = list(targets), 1 / keep
     cells = stored(cells.withColumn("w", F.lit(1.0)), "mix-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return cells
+        return cells, {}
     shares = {}
     for dim, target in targets.items():
-        natural = cells.groupBy(dim).agg(F.sum("tokens").alias("n")).where("n > 0")
-        if target == "even":
-            natural = natural.withColumn("share", F.lit(1.0) / natural.count())
-        else:
-            named = F.create_map(*[F.lit(x) for v, s in target.items() for x in (v, float(s))])
-            natural = natural.withColumn("named", named[F.col(dim)])
-            free, got = natural.agg(F.sum(F.when(F.col("named").isNull(), F.col("n"))), F.sum("named")).first()
-            rest, scale = 1 - sum(target.values()) if free else 0.0, 1.0
-            if free and rest < 1e-9:
-                rest = free / total
-                scale = (1 - rest) / (got or 1.0)
-            whole = (got or 0.0) * scale + rest
-            natural = natural.withColumn("share", F.coalesce(F.col("named") * scale, F.col("n") * (rest / free if free else 0.0)) / whole if whole else F.col("n") / total)
-        shares[dim] = stored(natural.select(dim, "share"), "mix-shares")
+        natural = stored(cells.groupBy(dim).agg(F.sum("tokens").alias("n")).where("n > 0"), "mix-natural")
+        shares[dim] = feasible(raw_shares(natural, dim, target, total), dim, total, keep)
+        remove(natural)
     for _ in range(rounds):
+        new = cells
         for dim in dims:
-            mass = cells.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("w")).alias("mass"))
+            mass = new.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("w")).alias("mass"))
             factor = mass.join(shares[dim], dim, "left").select(dim, F.when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("mass")).otherwise(1.0).alias("factor"))
-            cells = cells.join(factor, dim).select(*dims, "tokens", (F.col("w") * F.col("factor")).alias("w"))
-        cells = stored(cells, "mix-round")
-    return cells
+            new = new.join(factor, dim).select(*dims, "tokens", F.least(F.lit(most), F.col("w") * F.col("factor")).alias("w"))
+        new = stored(new, "mix-round")
+        remove(cells)
+        cells = new
+    return cells, shares
 
 
-def mix(docs: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 8, topics: Mapping = TOPICS, most_cells: int = 100_000, doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping = TARGETS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = 8, topics: Mapping = TOPICS, doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """docs (or its columns carry) with mix_topic, mix_tokens, mix_probability, mix_weight and mix_kept; no row is dropped.
 
-    mix_probability is min(1, keep x raked weight); the sampled documents, counted with mix_weight, have the target
-    marginals. Up to most_cells cells are raked in the driver and broadcast; beyond that both happen on the cluster.
+    mix_probability is keep x raked weight; the tokens of the sampled documents have the target shares, as far as the
+    corpus has the tokens for them. mix_weight is 1 for all that can be sampled, 0 for cells without a target. Texts are
+    read and marked once, and the marks stored.
     """
-    spark = docs.sparkSession
     dims = list(targets)
     columns = [d for d in dims if d != "topic"]
     carry = [c for c in (carry or docs.columns) if not c.startswith("mix_")]
     cell = {d: F.coalesce(F.col(d), F.lit(NONE)) if d != "topic" else F.col("mix_topic") for d in dims}
-    cells = marked(docs, topics, columns).groupBy(*(c.alias(d) for d, c in cell.items())).agg(F.sum("mix_tokens").alias("tokens"))
-    some = cells.limit(most_cells + 1).collect()
-    if len(some) <= most_cells:
-        rows = sorted((r.asDict() for r in some), key=lambda r: tuple(r[d] for d in dims))
-        raked = spark.createDataFrame([(*(r[d] for d in dims), float(w)) for r, w in zip(rows, rake(rows, targets, rounds))], ", ".join(f"mix__{d} string" for d in dims) + ", mix__w double")
-        raked = F.broadcast(raked)
-    else:
-        raked = rake_frame(cells, targets, rounds).select(*(F.col(d).alias(f"mix__{d}") for d in dims), F.col("w").alias("mix__w"))
-    out = marked(docs, topics, list(dict.fromkeys([*carry, *columns, doc_id])))
-    same = [c == F.col(f"mix__{d}") for d, c in cell.items()]
-    out = out.join(raked, reduce(and_, same))
+    marks = stored(marked(docs, topics, list(dict.fromkeys([*carry, *columns, doc_id]))), "mix-marks")
+    cells = marks.groupBy(*(c.alias(d) for d, c in cell.items())).agg(F.sum("mix_tokens").alias("tokens"))
+    raked, shares = rake(cells, targets, keep, rounds)
+    remove(*shares.values())
+    raked = raked.select(*(F.col(d).alias(f"mix__{d}") for d in dims), F.col("w").alias("mix__w"))
+    out = marks.join(raked, reduce(and_, [c == F.col(f"mix__{d}") for d, c in cell.items()]))
     p = F.least(F.lit(1.0), F.lit(keep) * F.col("mix__w"))
     out = out.withColumns({"mix_probability": p, "mix_weight": F.when(F.col("mix__w") > 0, F.lit(keep) * F.col("mix__w") / p).otherwise(0.0), "mix_kept": uniform(F.col(doc_id), seed) < p})
     return out.select(*carry, "mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_kept")
@@ -171,17 +162,23 @@ def oracle(source: str = "documents", targets: Mapping = TARGETS, keep: float =
     ]
     for d, target in targets.items():
         if target == "even":
-            out.append(f"s_{d} AS MATERIALIZED (SELECT d_{d}, 1.0::DOUBLE / count(*) OVER () AS share FROM w0 GROUP BY d_{d} HAVING sum(n) > 0)")
+            out.append(f"r_{d} AS MATERIALIZED (SELECT d_{d}, sum(n) AS n, 1.0::DOUBLE / count(*) OVER () AS share FROM w0 GROUP BY d_{d} HAVING sum(n) > 0)")
         else:
             named = " ".join(f"WHEN {quote(v)} THEN {s!r}::DOUBLE" for v, s in target.items())
-            rest = max(0.0, 1 - sum(target.values()))
+            rest = 1 - sum(target.values())
             out.append(f"n_{d} AS MATERIALIZED (SELECT d_{d}, sum(n) AS n, CASE d_{d} {named} END AS named FROM w0 GROUP BY d_{d} HAVING sum(n) > 0)")
-            out.append(f"r_{d} AS MATERIALIZED (SELECT d_{d}, coalesce(named, {rest!r}::DOUBLE * n / nullif(sum(CASE WHEN named IS NULL THEN n END) OVER (), 0)) AS share FROM n_{d})")
-            out.append(f"s_{d} AS MATERIALIZED (SELECT d_{d}, share / sum(share) OVER () AS share FROM r_{d})")
+            out.append(f"f_{d} AS MATERIALIZED (SELECT coalesce(sum(n) FILTER (named IS NULL), 0) AS free, coalesce(sum(named), 0) AS got, {'coalesce(sum(n) FILTER (named IS NULL), 0) / sum(n)' if rest < 1e-9 else f'{rest!r}::DOUBLE'} AS rest FROM n_{d})")
+            scale = "(1 - rest) / got" if rest < 1e-9 else "1.0"
+            out.append(f"r_{d} AS MATERIALIZED (SELECT d_{d}, n, coalesce(named * ({scale}), rest * n / nullif(free, 0)) / sum(coalesce(named * ({scale}), rest * n / nullif(free, 0))) OVER () AS share FROM n_{d}, f_{d})")
+        out.append(f"c_{d}_0 AS MATERIALIZED (SELECT d_{d}, share, n / total / {keep!r} AS cap, FALSE AS full_ FROM r_{d}, total)")
+        own = "CASE WHEN full_ THEN cap ELSE share * (1 - coalesce(sum(cap) FILTER (full_) OVER (), 0)) / sum(share) FILTER (NOT full_) OVER () END"
+        for k in range(PASSES):
+            out.append(f"c_{d}_{k + 1} AS MATERIALIZED (SELECT d_{d}, share, cap, full_ OR {own} > cap AS full_ FROM c_{d}_{k})")
+        out.append(f"s_{d} AS MATERIALIZED (SELECT d_{d}, {own} AS share FROM c_{d}_{PASSES})")
     k = 0
     for _ in range(rounds):
         for d in targets:
-            out.append(f"w{k + 1} AS MATERIALIZED (SELECT d_source, d_lang, d_topic, n, w * CASE WHEN m > 0 THEN coalesce(share, 0) * total / m ELSE 1 END AS w FROM (SELECT *, sum(n * w) OVER (PARTITION BY d_{d}) AS m FROM w{k}) LEFT JOIN s_{d} USING (d_{d}) CROSS JOIN total)")
+            out.append(f"w{k + 1} AS MATERIALIZED (SELECT d_source, d_lang, d_topic, n, least({1 / keep!r}, w * CASE WHEN m > 0 THEN coalesce(share, 0) * total / m ELSE 1 END) AS w FROM (SELECT *, sum(n * w) OVER (PARTITION BY d_{d}) AS m FROM w{k}) LEFT JOIN s_{d} USING (d_{d}) CROSS JOIN total)")
             k += 1
     u = f"(('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0"
     out.append(f"mixed AS (SELECT * EXCLUDE (d_source, d_lang, d_topic, n, w, p), d_topic AS mix_topic, p AS mix_probability, CASE WHEN w > 0 THEN {keep!r} * w / p ELSE 0 END AS mix_weight, {u} < p AS mix_kept FROM (SELECT *, least(1.0, {keep!r} * w) AS p FROM marked JOIN w{k} USING (d_source, d_lang, d_topic)))")

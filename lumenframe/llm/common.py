@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import tempfile
 import uuid
@@ -14,16 +15,40 @@ MASK64 = 0xFFFFFFFFFFFFFFFF
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; a temporary one only on a local master, where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: What this driver has stored and not removed: results that are read lazily still need it, so it goes when the driver ends.
+KEPT: dict[str, SparkSession] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
+    KEPT[path] = spark
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    KEPT.pop(path, None)
+
+
+@atexit.register
+def delete_all() -> None:
+    """The last intermediate tables of the driver's sessions that are still open."""
+    for path, spark in list(KEPT.items()):
+        if spark._jsc.sc().isStopped() if spark._sc._jsc is not None else True:
+            continue
+        delete(spark, path)
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -48,9 +73,7 @@ def received(broadcast):
 def remove(*frames: DataFrame) -> None:
     """Delete the files of stored() frames that nothing will read again."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.stored_at)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,8 @@ repetition. The model is fitted on at most most_rated rated rows, those with the
 
 Edge cases: ratings that are null or whose document is missing are left out, of repeated ratings of one id the lowest
 counts; null and empty texts have the shape features only; with fewer than two grades rated, every text gets the one
-grade (the top one without any rating); each input row gives one row.
+grade; without any rating all get the lowest, so that nothing is kept; each input row gives one row. Input columns named
+expected_grade, tail and kept are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def fit(pieces: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grade
     """
     w = np.zeros(SLOTS, np.float32)
     if len(grades) == 0:
-        return w, np.full(n_grades - 1, -20.0)
+        return w, np.full(n_grades - 1, 20.0)
     z, power = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
     shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades)
     cuts, cut_power = np.log((shares + 1e-3) / (1 - shares + 1e-3)), np.full(n_grades - 1, 1e-2)

@@ -4,10 +4,12 @@ Vectors are packed into blocks, queries into blocks of their own, and each pair
 block has, for every dimension, its members sorted by value. For a query the lists are read from the end that adds most
 (by the sign of the query's component), a step at a time; every member met is scored in full, and reading stops when
 the bound, the sum of the products at the current depths, cannot beat the k-th best score, nor tie with it. Each pair
-gives k rows a query at most; a second step merges them.
+gives k rows a query at most; a second step merges them. All blocks know a score that k candidates of each query reach:
+the k-th best among SEEDS vectors (those with the smallest hashes of their ids), so reading stops in a block that has
+nothing to add, without a k-th result of its own. The seeds change how far is read, and no result.
 
 Edge cases: vectors that are null or hold null components take no part, nor, after usable(), those with non-finite ones;
-vectors meet those of their own length only; ties go to the smaller id; fewer candidates than k give all; rows
+vectors meet those of their own length only; vectors of length 0 score 0 with each other; ties go to the smaller id; fewer candidates than k give all; rows
 that repeat an id are separate candidates, and separate queries whose results are ranked together; no row with the
 query's own id is a candidate; null ids take no part.
 """
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window
 
 from lumenframe.llm.common import stored
 
-BLOCK, QUERY_BLOCK, STEP = 16_384, 1_024, 32
+BLOCK, QUERY_BLOCK, STEP, SEEDS = 8_192, 1_024, 32, 2_048
 
 
 def scaled(vector: Column, factor: float = 64.0) -> Column:
@@ -72,8 +74,8 @@ class Lists:
         self.up = np.argsort(self.values, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(self.values, self.up.T.astype(np.int64), axis=0).T.copy()
 
-    def top(self, query_id: int, query: np.ndarray, k: int, least: tuple[int, int] | None = None) -> list[tuple[int, int]]:
-        """(score, id) of the k best members, best first. least: a score and id that k candidates elsewhere reach."""
+    def top(self, query_id: int, query: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
+        """(score, id) of the k best members, best first. least: a score that k candidates, of whatever block, reach; members below it may be missing."""
         n, used = len(self.ids), np.flatnonzero(query)
         if not len(used):
             keep = self.ids[self.ids != query_id][:k]
@@ -100,12 +102,35 @@ class Lists:
             depth, step = to, step * 2
             if depth < n:
                 bound = (self.sorted[used[up], depth] * query[used[up]]).sum() + (self.sorted[used[~up], n - 1 - depth] * query[used[~up]]).sum()
-                if len(scores) == k and bound < scores.min() or least is not None and bound < least[0]:
+                if len(scores) == k and bound < scores.min() or least is not None and bound < least:
                     break
         best = np.lexsort((self.ids[found], -scores))[:k]
         return [(int(s), int(i)) for s, i in zip(scores[best], self.ids[found[best]])]
 
 
+def seeded(shared, k: int):
+    """Query blocks with q_least: for each query the k-th best score among the seeds of its length, NONE if there are fewer."""
+
+    def run(batches):
+        seeds = {d: (np.array(ids, np.int64), np.array(values, np.int64).reshape(len(ids), d)) for d, (ids, values) in shared.value.items()}
+        for batch in batches:
+            out = []
+            for d, kind, ids, components in zip(*(batch.column(c).to_pylist() for c in ("dims", "kind", "ids", "components"))):
+                queries, own = np.frombuffer(components, kind).reshape(-1, d).astype(np.int64), np.frombuffer(ids, np.int64)
+                least = np.full(len(own), NONE)
+                if d in seeds and len(seeds[d][0]) > k:
+                    scores = queries @ seeds[d][1].T
+                    scores[own[:, None] == seeds[d][0][None]] = NONE
+                    least = np.partition(scores, -k, axis=1)[:, -k]
+                out.append(least.astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "least"])
+
+    return run
+
+
+NONE = np.iinfo(np.int64).min
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best candidates by integer inner product.
 
@@ -114,8 +139,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
     schema = "dims int, kind string, ids binary, components binary"
     blocks = stored(own.select("id", "v").mapInArrow(_pack(block), schema).withColumn("part", F.monotonically_increasing_id()), "topk-blocks")
-    asked = own.where("q").select("id", "v").mapInArrow(_pack(query_block), schema)
-    asked = asked.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "components")))
+    seeds: dict[int, tuple[list, list]] = {}
+    for r in own.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SEEDS).collect():
+        found = seeds.setdefault(len(r.v), ([], []))
+        found[0].append(r.id)
+        found[1].append(r.v)
+    asked = own.where("q").select("id", "v").mapInArrow(_pack(query_block), schema).mapInArrow(seeded(vectors.sparkSession.sparkContext.broadcast(seeds), k), schema + ", least binary")
+    asked = asked.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "components", "least")))
     # the stated query set against all rows, in blocks: the smaller query blocks go to where the candidates are
     spread = max(1, blocks.count())
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(spread)).cast("int"))
@@ -130,11 +160,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 if row["part"] != last:
                     lists, last = Lists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["components"], row["kind"]).reshape(-1, d).astype(np.int64)), row["part"]
                 queries = np.frombuffer(row["q_components"], row["q_kind"]).reshape(-1, d).astype(np.int64)
-                out = [(q, i, s) for q, values in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries) for s, i in lists.top(q, values, k)]
+                least = [None if x == NONE else x for x in np.frombuffer(row["q_least"], np.int64).tolist()]
+                out = [(q, i, s) for q, values, low in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries, least) for s, i in lists.top(q, values, k, low)]
                 columns = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("part", "dims", "kind", "ids", "components", "q_kind", "q_ids", "q_components").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("part", "dims", "kind", "ids", "components", "q_kind", "q_ids", "q_components", "q_least").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -41,6 +41,29 @@ def test_reading_stops_early_on_skewed_lists():
     assert [s for s, _ in best] == sorted(values[:, 0].tolist(), reverse=True)[:20] and sum(read) < 200
 
 
+def test_blocks_without_anything_to_add_stop_at_once():
+    """The score that the seeds reach ends the reading of a block whose bound is below it."""
+    values = np.ones((5_000, 4), np.int64)
+    lists = topk.Lists(np.arange(5_000), values)
+    query = np.array([1, 1, 1, 1])
+    assert len(lists.top(-1, query, 20)) == 20 and lists.top(-1, query, 20, 5) == lists.top(-1, query, 20, 5) and len(lists.top(-1, query, 20, 5)) <= 20
+    read = []
+    rows = lists.rows
+    lists.rows = type("R", (), {"dtype": rows.dtype, "__getitem__": lambda s, i: read.append(len(i)) or rows[i]})()
+    lists.top(-1, query, 20, 5)
+    assert sum(read) <= 2 * 4 * topk.STEP
+
+
+@pytest.mark.parametrize("seeds", [0, 25, 10_000])
+def test_seeds_change_no_result(spark, monkeypatch, seeds):
+    monkeypatch.setattr(topk, "SEEDS", seeds)
+    rng = np.random.default_rng(seeds)
+    vectors, ids = rng.integers(-20, 21, (300, 6)), rng.permutation(300)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)] + [(1000, []), (1003, [])], "vec_id long, embedding array<long>")
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 7 == 0, 20, block=32, query_block=16).collect()))
+    assert got == brute(ids, vectors, [i for i in range(300) if i % 7 == 0], 20)
+
+
 def test_odd_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [0.5, -0.01]), (5, [0.5, -0.01]), (None, [1.0, 1.0]), (7, [1.0])], "vec_id long, embedding array<float>")
     own = df.where(topk.usable(F.col("embedding"))).select("vec_id", topk.scaled(F.col("embedding")).alias("embedding"))

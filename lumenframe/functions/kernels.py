@@ -83,17 +83,69 @@ SLAB = 1 << 15  # coordinates at a time, so that what is made of them stays in t
 
 
 def sample(a: np.ndarray, coords: list[np.ndarray], order: int = 1, mode: str = "constant", cval: float = 0.0) -> np.ndarray:
-    """Values of the spline through a at coords, one array of coordinates for each axis."""
+    """Values of the spline through a at coords, one array of coordinates for each axis. Single-precision arrays give such values in linear order."""
     pad = 12 if order > 1 and mode == "nearest" else 0
     source = coefficients(np.pad(a, pad, mode="edge") if pad else a, order, mode) if order > 1 else a
     flat = np.ascontiguousarray(source).reshape(-1)
+    if order == 1 and flat.dtype.kind != "f":
+        flat = flat.astype(np.float64)
     shape, coords = coords[0].shape, [c.reshape(-1) for c in coords]
-    out = np.empty(len(coords[0]), flat.dtype if order == 0 else np.float64)
+    single = order == 1 and flat.dtype == np.float32
+    out = np.empty(len(coords[0]), flat.dtype if order == 0 or single else np.float64)
     for at in range(0, len(out), SLAB):
-        out[at : at + SLAB] = _sample(flat, source.shape, a.shape, [c[at : at + SLAB] for c in coords], order, mode, cval, pad)
+        part = [c[at : at + SLAB] for c in coords]
+        out[at : at + SLAB] = _linear(flat, a.shape, part, mode, cval) if order == 1 else _nearest(flat, a.shape, part, mode, cval) if order == 0 else _sample(flat, source.shape, a.shape, part, order, mode, cval, pad)
     return out.reshape(shape)
 
 
+def _taps(c: np.ndarray, n: int, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two voxels around each coordinate, and the weight of the second. Brought coordinates leave an edge by less than a voxel."""
+    if mode != "constant" and (c.min() < 0 or c.max() > n - 1):
+        c = bring(c, n, mode)
+    low = np.floor(c)
+    first = low.astype(np.int64)
+    return np.clip(first, 0, n - 1), np.clip(first + 1, 0, n - 1), c - low
+
+
+def _inside(coords: list[np.ndarray], shape: tuple) -> np.ndarray | None:
+    """Which coordinates are within the array, None for all."""
+    out = None
+    for c, n in zip(coords, shape):
+        if c.min() < 0 or c.max() > n - 1:
+            ok = (c >= 0) & (c <= n - 1)
+            out = ok if out is None else out & ok
+    return out
+
+
+def _nearest(flat: np.ndarray, shape: tuple, coords: list[np.ndarray], mode: str, cval: float) -> np.ndarray:
+    inside = _inside(coords, shape) if mode == "constant" else None
+    at = 0
+    for c, n in zip(coords, shape):
+        if mode != "constant" and (c.min() < 0 or c.max() > n - 1):
+            c = bring(c, n, mode)
+        i = (c + c.dtype.type(0.5)).astype(np.int64)  # cuts toward 0: below 0 only where it is clipped
+        at = at * n + np.clip(i, 0, n - 1)
+    return flat[at] if inside is None else np.where(inside, flat[at], np.asarray(cval, flat.dtype))
+
+
+def _linear(flat: np.ndarray, shape: tuple, coords: list[np.ndarray], mode: str, cval: float) -> np.ndarray:
+    inside = _inside(coords, shape) if mode == "constant" else None
+    taps = [_taps(c, n, mode) for c, n in zip(coords, shape)]
+    rows = [0]  # the first voxel of each line along the last axis
+    for (first, second, _), n in zip(taps[:-1], shape[1:]):
+        rows = [(at + x) * n for at in rows for x in (first, second)]
+    left, right, weight = taps[-1]
+    weight = weight.astype(flat.dtype, copy=False)
+    lines = []
+    for at in rows:
+        a = flat[at + left]
+        lines.append(a + weight * (flat[at + right] - a))
+    for _, _, weight in taps[-2::-1]:
+        weight = weight.astype(flat.dtype, copy=False)
+        lines = [a + weight * (b - a) for a, b in zip(lines[::2], lines[1::2])]
+    return lines[0] if inside is None else np.where(inside, lines[0], np.asarray(cval, lines[0].dtype))
+
+
 def _sample(flat: np.ndarray, size: tuple, shape: tuple, coords: list[np.ndarray], order: int, mode: str, cval: float, pad: int) -> np.ndarray:
     inside = np.ones(coords[0].shape, bool)
     if mode == "constant":
@@ -107,14 +159,10 @@ def _sample(flat: np.ndarray, size: tuple, shape: tuple, coords: list[np.ndarray
         c = c if pad else bring(c, n, mode)
         first = np.floor(c + 0.5 if order % 2 == 0 else c).astype(np.int64)
         taps = []
-        for k in range(-(order // 2), order // 2 + 1 + order % 2) if order else (0,):
+        for k in range(-(order // 2), order // 2 + 1 + order % 2):
             at = first + k
-            weight = basis(order, c - at) if order > 1 else 1 - np.abs(c - at) if order else None
-            taps.append((fold(at, n, "mirror" if mode == "wrap" else mode) * step, weight))
+            taps.append((fold(at, n, "mirror" if mode == "wrap" else mode) * step, basis(order, c - at)))
         parts.append(taps)
-    if order == 0:
-        out = flat[sum(taps[0][0] for taps in parts)]
-        return np.where(inside, out, np.asarray(cval, out.dtype)) if mode == "constant" else out
 
     def total(axis, at, weight):
         """The sum over the taps of the axes from axis on, for the position and weight of the axes before."""
@@ -132,29 +180,40 @@ def _sample(flat: np.ndarray, size: tuple, shape: tuple, coords: list[np.ndarray
 def sample_planes(planes: np.ndarray, coords: list[np.ndarray], mode: str) -> np.ndarray:
     """Linear sample() of each plane at the same coordinates."""
     (h, w), flat = planes.shape[1:], planes.reshape(len(planes), -1)
-    y, x = bring(coords[0], h, mode), bring(coords[1], w, mode)
-    top, left = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
-    out = np.zeros((len(planes), y.size))
-    for dy, wy in ((0, 1 - (y - top)), (1, y - top)):
-        for dx, wx in ((0, 1 - (x - left)), (1, x - left)):
-            at = fold(top + dy, h, mode) * w + fold(left + dx, w, mode)
-            out += (wy * wx).ravel() * np.take(flat, at.ravel(), 1)
-    return out.reshape(len(planes), *y.shape)
+    top, bottom, fy = (x.ravel() for x in _taps(coords[0], h, mode))
+    left, right, fx = (x.ravel() for x in _taps(coords[1], w, mode))
+    fy, fx = fy.astype(planes.dtype), fx.astype(planes.dtype)
+    corners = [top * w + left, top * w + right, bottom * w + left, bottom * w + right]
+    out = np.empty((len(planes), top.size), planes.dtype)
+    for z, plane in enumerate(flat):
+        a, b, c, e = (plane[at] for at in corners)
+        a += fx * (b - a)
+        c += fx * (e - c)
+        out[z] = a + fy * (c - a)
+    return out.reshape(len(planes), *coords[0].shape)
 
 
 def along(a: np.ndarray, axis: int, coords: np.ndarray, order: int, mode: str, cval: float = 0.0) -> np.ndarray:
     """sample() where only one axis is resampled, at the same coordinates for all lines."""
     n = a.shape[axis]
-    out = np.zeros((len(coords), n))
-    unit = np.eye(n)
-    for j in range(n):
-        out[:, j] = sample(unit[j], [coords], order, mode, 0.0)
-    if order == 0:
-        picked = np.take(a, out.argmax(1), axis)
-        gone = out.max(1) == 0
+    gone = (coords < 0) | (coords > n - 1) if mode == "constant" else np.zeros(len(coords), bool)
+    if order <= 1:
+        if order:
+            first, second, weight = _taps(np.asarray(coords, np.float64), n, mode)
+        else:
+            c = coords if mode == "constant" else bring(np.asarray(coords, np.float64), n, mode)
+            first = np.clip(np.floor(c + 0.5).astype(np.int64), 0, n - 1)
+        picked = np.take(a, first, axis)
+        if order and weight.any():
+            weight = weight.astype(a.dtype if a.dtype.kind == "f" else np.float64).reshape([-1 if k == axis else 1 for k in range(a.ndim)])
+            step = np.take(a, second, axis) - picked
+            step *= weight
+            picked = picked + step
     else:
-        picked = np.moveaxis(np.tensordot(out, a, (1, axis)), 0, axis)
-        gone = (coords < 0) | (coords > n - 1) if mode == "constant" else np.zeros(len(coords), bool)
+        table, unit = np.zeros((len(coords), n)), np.eye(n)
+        for j in range(n):
+            table[:, j] = sample(unit[j], [coords], order, mode, 0.0)
+        picked = np.moveaxis(np.tensordot(table, a, (1, axis)), 0, axis)
     if gone.any():
         picked = picked.copy()
         np.moveaxis(picked, axis, 0)[gone] = cval
@@ -208,18 +267,22 @@ def filtered(a: np.ndarray, weights: np.ndarray, axis: int, mode: str = "reflect
             at = rows + k
             ok = (at >= 0) & (at < n) if mode == "constant" else slice(None)
             np.add.at(table, (rows[ok], fold(at, n, mode)[ok]), w)
-        return np.moveaxis(np.tensordot(table, moved, (1, 0)), 0, axis)
+        table = table.astype(a.dtype) if a.dtype == np.float32 else table
+        if axis == a.ndim - 1:
+            return a @ table.T
+        lead = int(np.prod(a.shape[:axis]))  # products that leave the result in row-major order
+        return np.matmul(table, a.reshape(lead, n, -1)).reshape(a.shape)
     pad = [(radius, radius)] + [(0, 0)] * (a.ndim - 1)
     names = {"reflect": "symmetric", "mirror": "reflect", "nearest": "edge", "wrap": "wrap", "constant": "constant"}
     wide = np.pad(moved, pad, mode=names[mode])
-    out = np.zeros(moved.shape)
-    for k, w in enumerate(weights):
+    out = np.zeros(moved.shape, np.result_type(a.dtype, np.float32))
+    for k, w in enumerate(weights.tolist()):
         out += w * wide[k : k + n]
     return np.moveaxis(out, 0, axis)
 
 
 def gaussian(a: np.ndarray, sigma: float, derivative: int = 0, mode: str = "reflect") -> np.ndarray:
-    out = np.asarray(a, np.float64)
+    out = a if a.dtype == np.float32 else np.asarray(a, np.float64)
     if sigma <= 0:
         return out
     weights = gaussian_weights(sigma, derivative)
@@ -233,7 +296,7 @@ def median(a: np.ndarray, size: int, mode: str = "reflect") -> np.ndarray:
     names = {"reflect": "symmetric", "mirror": "reflect", "nearest": "edge", "wrap": "wrap", "constant": "constant"}
     wide = np.pad(a, size // 2, mode=names[mode])
     views = np.lib.stride_tricks.sliding_window_view(wide, (size,) * a.ndim)
-    out, half = np.empty(a.shape, np.float64), size**a.ndim // 2
+    out, half = np.empty(a.shape, a.dtype), size**a.ndim // 2
     slab = max(1, (1 << 22) // max(1, size**a.ndim * int(np.prod(a.shape[1:]))))
     for at in range(0, a.shape[0], slab):
         block = views[at : at + slab]
@@ -242,5 +305,6 @@ def median(a: np.ndarray, size: int, mode: str = "reflect") -> np.ndarray:
     return out
 
 
-def grid(shape: tuple[int, ...]) -> list[np.ndarray]:
-    return list(np.meshgrid(*(np.arange(n, dtype=np.float64) for n in shape), indexing="ij"))
+def grid(shape: tuple[int, ...], dtype=np.float64, sparse: bool = False) -> list[np.ndarray]:
+    """The coordinates of all voxels for each axis; sparse: along that axis only, for broadcasting."""
+    return list(np.meshgrid(*(np.arange(n, dtype=dtype) for n in shape), indexing="ij", sparse=sparse))

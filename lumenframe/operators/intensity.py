@@ -148,6 +148,27 @@ def CLAHEContrast(v, d, clip_limit=(1.0, 3.0), grid=(8, 8), n_bins=256):
     return v.having(image=like(out * (high - low) + low, v.image))
 
 
+def by_share(values: np.ndarray, look_up) -> np.ndarray:
+    """look_up(share of values that are at most as great), for each value; look_up gets ascending shares.
+
+    Single-precision values are sorted as whole numbers with their places in the low bits.
+    """
+    n = len(values)
+    if values.dtype == np.float32 and n < 1 << 32:
+        bits = (values + np.float32(0)).view(np.uint32)  # -0 counts as 0
+        keys = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
+        keys |= np.arange(n, dtype=np.uint64)
+        keys.sort()
+        order, ordered = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
+    else:
+        order = np.argsort(values)
+        ordered = values[order]
+    ends = np.flatnonzero(np.r_[ordered[1:] != ordered[:-1], True]) + 1 if n else np.zeros(0, np.int64)
+    out = np.empty(n, values.dtype)
+    out[order] = np.repeat(look_up(ends / max(1, n)), np.diff(np.r_[0, ends]))
+    return out
+
+
 @operator(blend=Span(least=0, most=1), n_quantiles=number(2))
 def HistogramMatch(v, d, reference=None, blend=1.0, n_quantiles=256):
     """Each value's place in the distribution, looked up in the reference's quantiles, and mixed in by the share blend."""
@@ -156,9 +177,6 @@ def HistogramMatch(v, d, reference=None, blend=1.0, n_quantiles=256):
     at = np.linspace(0, 1, n_quantiles)
     found = np.quantile(np.asarray(reference, float).ravel(), at)
     values = v.values
-    order = np.argsort(values, axis=None)
-    ordered = values.ravel()[order]
-    matched = np.empty(values.size)
-    matched[order] = np.interp(np.searchsorted(ordered, ordered, "right") / values.size, at, found)
+    matched = by_share(values.ravel(), lambda share: np.interp(share, at, found))
     share = d.uniform("blend", blend)
     return v.having(image=like((1 - share) * values + share * matched.reshape(v.shape), v.image))

@@ -65,7 +65,9 @@ def RandomAffine(v, d, rotation=0.0, scale=(1.0, 1.0), translation=0.0, axes_ena
     centre, back = (np.array(v.shape) - 1) / 2, np.linalg.inv(forward)
     steps = [np.arange(s) - c - t for s, c, t in zip(v.shape, centre, shift)]
     mesh = np.meshgrid(*steps, indexing="ij", sparse=True)
-    coords = [sum(back[a, b] * mesh[b] for b in range(n)) + centre[a] for a in range(n)]
+    kind = v.values.dtype  # single precision is exact to a few millionths of a voxel here
+    mesh = [m.astype(kind) for m in mesh]
+    coords = [sum(kind.type(back[a, b]) * mesh[b] for b in range(n)) + kind.type(centre[a]) for a in range(n)]
     image = kernels.sample(v.values, coords, order, mode, cval)
     mask = None if v.mask is None else kernels.sample(v.mask, coords, 0, "constant", 0)
     return v.moved(lambda p: (p - centre) @ forward.T + centre + shift, image=like(image, v.image), mask=mask)
@@ -127,8 +129,10 @@ def displaced(v, d, alpha, sigma, order, mode, cval):
     alpha, sigma = (x if isinstance(x, tuple) else (x,) * n for x in (alpha, sigma))
     if len(alpha) != n or len(sigma) != n:
         raise ValueError(f"alpha and sigma need one value, or one for each of {n} dimensions")
-    fields = [kernels.gaussian(2 * d.field(f"field{a}", v.shape) - 1, sigma[a]) * alpha[a] for a in range(n)]
-    coords = [g + f for g, f in zip(kernels.grid(v.shape), fields)]
+    kind = v.values.dtype
+    noise = lambda a: (2 * d.field(f"field{a}", v.shape) - 1).astype(kind, copy=False)
+    fields = [kernels.gaussian(noise(a), sigma[a]) * kind.type(alpha[a]) for a in range(n)]
+    coords = [g + f for g, f in zip(kernels.grid(v.shape, kind, True), fields)]
     image = kernels.sample(v.values, coords, order, mode, cval)
     mask = None if v.mask is None else kernels.sample(v.mask, coords, 0, "constant", 0)
 

@@ -32,8 +32,8 @@ class Sample:
 
     @property
     def values(self) -> np.ndarray:
-        """The image for arithmetic: in double precision; results are stored in the image's own type."""
-        return np.asarray(self.image, np.float64)
+        """The image for arithmetic: single-precision images stay so, all others are in double precision."""
+        return self.image if self.image.dtype == np.float32 else np.asarray(self.image, np.float64)
 
     def having(self, **fields) -> Sample:
         return replace(self, **fields)

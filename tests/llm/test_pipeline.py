@@ -40,3 +40,15 @@ def test_registered():
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and len([q for q in __spark_entry__.queries() if q.startswith("op")]) == 10
+
+
+def test_odd_documents_and_columns_that_clash(spark, tmp_path):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "no id at all", "en", "s"), (9001, None, None, None), (9002, "", "xx", "s"), (9003, "word " * 60_000, "en", None), (9004, "the same row twice", "en", "s"), (9004, "the same row twice", "en", "s")], "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast(plain.schema["n_chars"].dataType))
+    docs = plain.unionByName(odd).withColumns({c: F.lit(7) for c in ("kept", "tail", "class_id", "band", "mix_kept", "hash", "item_id", "node")})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for empty in (True, False):
+            path = str(tmp_path / f"{k}-{empty}")
+            stage(spark, docs.limit(0) if empty else docs, SF).write.parquet(path)
+            out = spark.read.parquet(path)
+            assert out.columns[:5] == corpus_pipeline.COLUMNS and (out.count() == 0) == empty, name

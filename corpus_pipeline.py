@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; run() writes each result
 as Parquet in the shared folder and reads it again for the next stage. Null ids stay through the first three stages.
+Null and empty texts are documents like others; rows that repeat an id are one document for the near-duplicates; an
+empty table stays empty; other columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, mixing, near_dup, quality
-from lumenframe.llm.common import new_path
+from lumenframe.llm.common import delete, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,9 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         path = new_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage before has been read for the last time
+            delete(spark, before)
+        before = path
     return docs

@@ -21,9 +21,10 @@ from lumenframe.plans.node import Guard, Transform, register_transform
 from lumenframe.plans.presets import PRESETS
 from lumenframe.plans.validate import VolumeValidator
 from lumenframe.queries import ORACLE_SQL as BASE_SQL
-from lumenframe.queries import SEED, V2, V3, _flip_gamma_noise, field, gather, images, rows, shown, six, stacks, uniform, voxel_rows
+from lumenframe.queries import SEED, V2, V3, _flip_gamma_noise, field, gather, images, rows, shown, six, stacks, uniform, unit, voxel_rows
 from lumenframe.sources import adapt, dicom, nifti
 from lumenframe.sources.files import new_folder, write_files
+from lumenframe.streaming.augment import augment_stream, read_volumes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,6 +188,17 @@ def memory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("volume_id", F.array_join(F.col("spacing").cast("array<string>"), ",").alias("spacing"), "has_mask", "num_keypoints", "num_bboxes", "ndim")
 
 
+@query("stream_augment", f"WITH {V2} SELECT volume_id::BIGINT AS volume_id, z::INTEGER AS z, (CASE WHEN {unit('flip0')} < 0.5 THEN 7 - y ELSE y END)::INTEGER AS y, (CASE WHEN {unit('flip1')} < 0.5 THEN 7 - x ELSE x END)::INTEGER AS x, {shown('v::FLOAT::DOUBLE')} AS v, m::INTEGER AS label FROM v")
+def stream_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes that arrive as files, augmented as a stream until all are done."""
+    path = new_folder(spark, "stream")
+    df = vol.volumes(images(spark, sf_dir)).withColumn("image", F.col("image").cast("array<float>"))
+    df.select(*vol.COLUMNS).repartition(4).write.parquet(f"{path}/in")
+    stream = read_volumes(spark, f"{path}/in", files_per_batch=2)
+    augment_stream(stream, o.RandomFlip(axes=("x", "y")), f"{path}/out", f"{path}/checkpoint", SEED, available_now=True).awaitTermination()
+    return voxel_rows(spark.read.parquet(f"{path}/out").withColumn("image", F.col("image").cast("array<double>")))
+
+
 # --- adapters and operators of one's own -----------------------------------------------------------------------------
 
 _flip = o.RandomFlip(axes=("x", "y"))

@@ -15,6 +15,7 @@ begin with mix_ are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 from operator import and_
@@ -30,7 +31,7 @@ NONE = "(none)"
 #: Production settings: markers of each topic, target shares ("even", or shares by value), rounds of raking.
 TOPICS = {"process": ("ing", "ung", "ando", "ant "), "abstract": ("tion", "ción", "heit", "keit"), "relation": (" of ", " de ", " von ", " in ")}
 TARGETS = {"source": "even", "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": "even"}
-ROUNDS, KEEP, PASSES = 12, 0.5, 6
+ROUNDS, KEEP, PASSES, PART_CELLS = 12, 0.5, 6, 500_000
 
 
 def topic_of(text: bytes, topics: Mapping[str, tuple[str, ...]] = TOPICS) -> str:
@@ -78,15 +79,15 @@ def raw_shares(natural: DataFrame, dim: str, target, total: int) -> DataFrame:
     return natural.select(dim, "n", ((F.coalesce(F.col("named") * scale, F.col("n") * (rest / free if free else 0.0))) / whole if whole else F.col("n") / total).alias("share"))
 
 
-def feasible(shares: DataFrame, dim: str, total: int, keep: float, passes: int = PASSES) -> DataFrame:
+def feasible(shares: DataFrame, dim: str, total: int, keep: float, parts: int, passes: int = PASSES) -> DataFrame:
     """dim and share: no value gets more than all of its tokens (its natural share / keep); the others divide what it leaves."""
-    out = shares.select(dim, "share", (F.col("n") / total / keep).alias("cap")).withColumn("full", F.lit(False))
+    out = shares.coalesce(parts).select(dim, "share", (F.col("n") / total / keep).alias("cap")).withColumn("full", F.lit(False))
     out = stored(out, "mix-shares")
     for _ in range(passes):
         capped, free = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share")))).first()
         scale = (1 - (capped or 0.0)) / free if free else 0.0
         own = F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale)
-        new = stored(out.select(dim, "share", "cap", (F.col("full") | (own > F.col("cap"))).alias("full")), "mix-shares")
+        new = stored(out.coalesce(parts).select(dim, "share", "cap", (F.col("full") | (own > F.col("cap"))).alias("full")), "mix-shares")
         more = new.where("full").count() - out.where("full").count()
         remove(out)
         out = new
@@ -94,7 +95,7 @@ def feasible(shares: DataFrame, dim: str, total: int, keep: float, passes: int =
             break
     capped, free = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share")))).first()
     scale = (1 - (capped or 0.0)) / free if free else 0.0
-    done = stored(out.select(dim, F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale).alias("share")), "mix-shares")
+    done = stored(out.coalesce(parts).select(dim, F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale).alias("share")), "mix-shares")
     remove(out)
     return done
 
@@ -102,23 +103,25 @@ def feasible(shares: DataFrame, dim: str, total: int, keep: float, passes: int =
 def rake(cells: DataFrame, targets: Mapping, keep: float, rounds: int) -> tuple[DataFrame, dict[str, DataFrame]]:
     """cells (the dimensions and tokens) with their weights w, stored; and the feasible target shares of each dimension.
 
-    A weight is at most 1 / keep, so that keep x w is a probability. Nothing here is held in the driver but sums.
+    A weight is at most 1 / keep, so that keep x w is a probability. Nothing here is held in the driver but sums. The
+    cells are dealt to a partition for each PART_CELLS of them; what is in one partition is summed and joined without a shuffle.
     """
     dims, most = list(targets), 1 / keep
     cells = stored(cells.withColumn("w", F.lit(1.0)), "mix-cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, count = cells.agg(F.sum("tokens"), F.count("*")).first()
+    parts = max(1, math.ceil(count / PART_CELLS))
     if not total:
         return cells, {}
     shares = {}
     for dim, target in targets.items():
-        natural = stored(cells.groupBy(dim).agg(F.sum("tokens").alias("n")).where("n > 0"), "mix-natural")
-        shares[dim] = feasible(raw_shares(natural, dim, target, total), dim, total, keep)
+        natural = stored(cells.coalesce(parts).groupBy(dim).agg(F.sum("tokens").alias("n")).where("n > 0"), "mix-natural")
+        shares[dim] = feasible(raw_shares(natural, dim, target, total), dim, total, keep, parts)
         remove(natural)
     for _ in range(rounds):
-        new = cells
+        new = cells.coalesce(parts)
         for dim in dims:
             mass = new.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("w")).alias("mass"))
-            factor = mass.join(shares[dim], dim, "left").select(dim, F.when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("mass")).otherwise(1.0).alias("factor"))
+            factor = mass.join(shares[dim].coalesce(parts), dim, "left").select(dim, F.when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("mass")).otherwise(1.0).alias("factor"))
             new = new.join(factor, dim).select(*dims, "tokens", F.least(F.lit(most), F.col("w") * F.col("factor")).alias("w"))
         new = stored(new, "mix-round")
         remove(cells)

@@ -56,6 +56,15 @@ def test_targets_for_values_that_do_not_occur(spark):
     assert got["source"]["src0"] == pytest.approx(min(0.5 / 0.8, most), abs=0.02)
 
 
+def test_cells_in_many_partitions_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    out = []
+    for n in (M.PART_CELLS, 40):
+        monkeypatch.setattr(M, "PART_CELLS", n)
+        out.append(M.mix(docs, rounds=3).select("doc_id", "mix_probability", "mix_kept").toPandas().sort_values("doc_id"))
+    assert np.allclose(out[0].mix_probability, out[1].mix_probability) and (out[0].mix_kept.to_numpy() == out[1].mix_kept.to_numpy()).all()
+
+
 def test_against_sql(spark):
     from lumenframe.llm.queries import op8
 

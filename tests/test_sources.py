@@ -72,3 +72,28 @@ def test_dicom_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="not supported"):
         dicom.decode("x", file_of(0, syntax="1.2.840.10008.1.2.4.50"))
     assert dicom.unreadable(spark, str(tmp_path)).first().fault.startswith(("no pixel data", "not a DICOM"))
+
+
+def test_files_on_a_file_system(spark, tmp_path):
+    from lumenframe.sources import files
+
+    df = spark.createDataFrame([(f"f{k}.bin", bytes([k]) * k) for k in range(30)], "name string, content binary").repartition(3)
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        got = sorted((r.name, r.bytes) for r in files.write_files(df, folder).collect())
+        assert got == sorted((f"f{k}.bin", k) for k in range(30))
+    assert all((tmp_path / d / f"f{k}.bin").read_bytes() == bytes([k]) * k for d in "ab" for k in range(30))
+    assert files.shared_dir(spark).startswith("file://")
+
+
+def test_series_without_an_id_and_faulty_ones(spark, tmp_path):
+    for k in range(6):
+        folder = tmp_path / f"d{k % 2}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{k}.dcm").write_bytes(file_of(k, series=""))
+    (tmp_path / "x1.dcm").write_bytes(file_of(1, "5.5"))
+    (tmp_path / "x2.dcm").write_bytes(file_of(2, "5.5", rows=8))
+    slices = dicom.load_slices(spark, str(tmp_path))
+    assert sorted(r.image[:: 16 * 16] for r in dicom.stacked(slices).collect()) == [[0.0, 200.0, 400.0], [100.0, 300.0, 500.0]]
+    assert [(r.key, r.fault) for r in dicom.faulty_series(slices).collect()] == [("5.5", "slices of a series differ in size")]
+    with pytest.raises(ValueError):
+        dicom.load_dicom_series(spark, str(tmp_path / "x*.dcm"))

@@ -93,7 +93,7 @@ def values(n: int) -> np.ndarray:
 def fit(pieces: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = 15, rate: float = 0.5, sparsity: float = 8.0, ridge: float = 1.0, least_rows: int = 4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights over the slots and n_grades - 1 ascending thresholds: the ordinal likelihood by FTRL-proximal steps.
 
-    Each piece has the features of some rows end to end, and how many each row has. sparsity keeps weights at 0 unless
+    Each piece has the features of some rows end to end, and how many each row has; the list is empty afterwards. sparsity keeps weights at 0 unless
     many rows pull them one way, so rare words of single rows carry none.
     """
     w = np.zeros(SLOTS, np.float32)
@@ -108,19 +108,22 @@ def fit(pieces: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grade
             found, n = np.unique(own[at : at + (1 << 20)], return_counts=True)
             seen[found] += n.astype(np.int32)
     parts = []
-    for own, sizes in pieces:  # without rare features, most of the memory goes
+    while pieces:  # without rare features, most of the memory goes, piece by piece
+        own, sizes = pieces.pop(0)
         keep, shape, ends = seen[own] >= least_rows, np.zeros(len(own), bool), np.cumsum(sizes)
         for k in range(1, 2 * SHAPES + 1):
             shape[ends - k] = True
-        parts.append((own[keep], np.where(shape[keep], np.float32(1), np.float32(WORD_VALUE)), np.add.reduceat(keep, ends - sizes, dtype=np.int64)))
-    del seen, keep, shape
-    slots, value, sizes = (np.concatenate(x) for x in zip(*parts))
-    del parts, pieces
+        parts.append((own[keep], shape[keep], np.add.reduceat(keep, ends - sizes, dtype=np.int64)))
+        del own, keep, shape
+    del seen
+    slots, of_shape, sizes = (np.concatenate(x) for x in zip(*parts))
+    del parts
     kept = np.r_[0, np.cumsum(sizes)]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(len(sizes)), max(1, len(sizes) // 32)):
-            own, v = (np.concatenate([x[kept[i] : kept[i + 1]] for i in part]) for x in (slots, value))
+            own, v = (np.concatenate([x[kept[i] : kept[i + 1]] for i in part]) for x in (slots, of_shape))
+            v = np.where(v, np.float32(1), np.float32(WORD_VALUE))
             of, y = np.repeat(np.arange(len(part)), kept[part + 1] - kept[part]), grades[part]
             f = np.bincount(of, w[own] * v, len(part))
             edges = np.r_[-np.inf, cuts, np.inf]

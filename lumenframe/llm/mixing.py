@@ -83,19 +83,18 @@ def feasible(shares: DataFrame, dim: str, total: int, keep: float, parts: int, p
     """dim and share: no value gets more than all of its tokens (its natural share / keep); the others divide what it leaves."""
     out = shares.coalesce(parts).select(dim, "share", (F.col("n") / total / keep).alias("cap")).withColumn("full", F.lit(False))
     out = stored(out, "mix-shares")
-    for _ in range(passes):
-        capped, free = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share")))).first()
+    full = -1
+    while True:
+        capped, free, n = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share"))), F.sum(F.col("full").cast("int"))).first()
         scale = (1 - (capped or 0.0)) / free if free else 0.0
         own = F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale)
+        if n == full or passes == 0:
+            break
+        full, passes = n, passes - 1
         new = stored(out.coalesce(parts).select(dim, "share", "cap", (F.col("full") | (own > F.col("cap"))).alias("full")), "mix-shares")
-        more = new.where("full").count() - out.where("full").count()
         remove(out)
         out = new
-        if not more:
-            break
-    capped, free = out.agg(F.sum(F.when(F.col("full"), F.col("cap"))), F.sum(F.when(~F.col("full"), F.col("share")))).first()
-    scale = (1 - (capped or 0.0)) / free if free else 0.0
-    done = stored(out.coalesce(parts).select(dim, F.when(F.col("full"), F.col("cap")).otherwise(F.col("share") * scale).alias("share")), "mix-shares")
+    done = stored(out.coalesce(parts).select(dim, own.alias("share")), "mix-shares")
     remove(out)
     return done
 

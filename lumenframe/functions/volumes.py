@@ -54,12 +54,12 @@ def derived(df: DataFrame) -> DataFrame:
     })
 
 
-def to_voxels(df: DataFrame) -> DataFrame:
-    """volume_id, z, y, x, v and label of each voxel; z is 0 in two dimensions."""
-    own = df.select("volume_id", F.element_at("shape", -1).alias("w"), F.element_at("shape", -2).alias("h"), "mask", F.posexplode("image").alias("i", "v"))
+def to_voxels(df: DataFrame, *more: str) -> DataFrame:
+    """volume_id, z, y, x, v and label of each voxel, and more columns of its volume; z is 0 in two dimensions."""
+    own = df.select("volume_id", *more, F.element_at("shape", -1).alias("w"), F.element_at("shape", -2).alias("h"), "mask", F.posexplode("image").alias("i", "v"))
     return own.select(
         "volume_id", F.floor(F.col("i") / (F.col("w") * F.col("h"))).cast("int").alias("z"), (F.floor(F.col("i") / F.col("w")) % F.col("h")).cast("int").alias("y"), (F.col("i") % F.col("w")).alias("x"), "v",
-        F.get("mask", F.col("i")).alias("label"),
+        F.get("mask", F.col("i")).alias("label"), *more,
     )
 
 

@@ -133,7 +133,7 @@ def dicom_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dicom.stacked(dicom.load_slices(spark, files_of(spark, sf_dir, frames_of, "dicom")))
     df = df.withColumns({"volume_id": F.split(F.col("metadata")["series_uid"], r"\.")[2].cast("long"), "mask": F.lit(None).cast("array<int>")})
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return vol.to_voxels(df).join(df.select("volume_id", text("shape"), text("spacing")), "volume_id").select("volume_id", "shape", "spacing", "z", "y", "x", six(F.col("v").cast("double")).alias("v"))
+    return vol.to_voxels(df, "shape", "spacing").select("volume_id", text("shape"), text("spacing"), "z", "y", "x", six(F.col("v").cast("double")).alias("v"))
 
 
 @query("dicom_unreadable", f"SELECT vec_id || '.dcm' AS name, CASE vec_id % 10 WHEN 9 THEN 'DICOM transfer syntax {PACKED} is not supported' ELSE 'no pixel data' END AS fault FROM embeddings WHERE vec_id % 10 >= 7")

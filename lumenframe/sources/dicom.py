@@ -1,18 +1,21 @@
 """DICOM series as volumes: uncompressed files in explicit or implicit little-endian form.
 
-Files are read with Spark's binaryFile source and parsed to one row each; slices of a series are put in order and
-stacked by Spark: grouping, sorting and spacing are DataFrame operations.
+Files are read where executors run (see files.map_files) and parsed to one row each; slices of a series are put in order
+and stacked by Spark: grouping, sorting and spacing are DataFrame operations.
 """
 
 from __future__ import annotations
 
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.sources.files import map_files
+
 SLICES = "path string, series_uid string, study_uid string, patient_id string, modality string, vendor string, ipp array<double>, iop array<double>, slice_location double, instance_number double, pixel_spacing array<double>, thickness double, slope double, intercept double, window_center double, window_width double, frames int, rows int, columns int, pixels array<float>"
 # Transfer syntaxes and tags of the standard.
 IMPLICIT, EXPLICIT = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1"
@@ -103,46 +106,62 @@ def decode(path: str, content: bytes) -> dict:
     }
 
 
-def listed(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of the files under path that may be DICOM: .dcm and .dicom files, and names without a dot."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    last = F.element_at(F.split("path", "/"), -1)
-    return files.where(~last.startswith(".") & (F.lower(last).rlike(r"\.(dcm|dicom)$") | ~last.contains("."))).select("path", "content")
+def wanted(name: Column) -> Column:
+    """Names that may be DICOM: .dcm and .dicom, and those without a dot."""
+    return ~name.startswith(".") & (F.lower(name).rlike(r"\.(dcm|dicom)$") | ~name.contains("."))
 
 
 def load_slices(spark: SparkSession, path: str) -> DataFrame:
     """One row for each readable DICOM image under path. unreadable() has the other files."""
 
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    row = decode(name, content.as_buffer().to_pybytes())
-                except ValueError:
-                    continue
-                values = row.pop("pixels")
-                own = pa.Table.from_pylist([row], pa.schema([(f.split(" ")[0], KINDS[f.split(" ")[1]]) for f in SLICES.split(", ")[:-1]]))
-                yield own.append_column("pixels", pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))).to_batches()[0]
-
-    return listed(spark, path).mapInArrow(run, SLICES)
+    def run(files):
+        rows, values, size = [], [], 0
+        for name, content in files:
+            try:
+                row = decode(name, content)
+            except ValueError:
+                continue
+            pixels = row.pop("pixels")
+            if rows and (len(rows) == ROWS or size + pixels.nbytes > BYTES):
+                yield batch_of(rows, values)
+                rows, values, size = [], [], 0
+            rows.append(row)
+            values.append(pixels)
+            size += pixels.nbytes
+        if rows:
+            yield batch_of(rows, values)
+
+    return map_files(spark, path, wanted, run, SLICES)
+
+
+def batch_of(rows: list[dict], values: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of SLICES and their pixels."""
+    own = pa.Table.from_pylist(rows, pa.schema([(f.split(" ")[0], KINDS[f.split(" ")[1]]) for f in SLICES.split(", ")[:-1]]))
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    pixels = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[0] if len(values) == 1 else np.concatenate(values)))
+    return own.append_column("pixels", pixels).to_batches()[0]
 
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """path and fault of the files under path that load_slices() leaves out."""
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    decode(name, content.as_buffer().to_pybytes())
-                except ValueError as e:
-                    found.append((name, str(e)))
-            yield pa.RecordBatch.from_pydict({"path": pa.array([n for n, _ in found], pa.string()), "fault": pa.array([f for _, f in found], pa.string())})
+    def faults(files):
+        for name, content in files:
+            try:
+                decode(name, content)
+            except ValueError as e:
+                yield name, str(e)
+
+    def run(files):
+        found = faults(files)
+        while part := list(islice(found, ROWS)):
+            yield pa.RecordBatch.from_pydict({"path": pa.array([n for n, _ in part], pa.string()), "fault": pa.array([f for _, f in part], pa.string())})
 
-    return listed(spark, path).mapInArrow(run, "path string, fault string")
+    return map_files(spark, path, wanted, run, "path string, fault string")
 
 
+# Rows and bytes of pixels that go back to Spark at once; a larger image goes alone.
+ROWS, BYTES = 1000, 1 << 24
 KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 

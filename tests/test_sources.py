@@ -97,3 +97,23 @@ def test_series_without_an_id_and_faulty_ones(spark, tmp_path):
     assert [(r.key, r.fault) for r in dicom.faulty_series(slices).collect()] == [("5.5", "slices of a series differ in size")]
     with pytest.raises(ValueError):
         dicom.load_dicom_series(spark, str(tmp_path / "x*.dcm"))
+
+
+def test_many_files_are_few_tasks_and_nothing_on_the_driver(spark, tmp_path):
+    for k in range(400):
+        folder = tmp_path / f"d{k % 7}" / "in it" if k % 2 else tmp_path
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.dcm").write_bytes(file_of(k % 5, f"1.{k}") if k % 10 else b"nothing")
+    for odd in ("_hidden/a.dcm", ".hidden/a.dcm", "_a.dcm", ".a.dcm", "_k=1/a b%20é.DCM", "d1/x._COPYING_", "empty.dcm", "notes.txt"):
+        (tmp_path / odd).parent.mkdir(exist_ok=True)
+        (tmp_path / odd).write_bytes(b"" if odd == "empty.dcm" else file_of(3, odd))
+    (tmp_path / "gone.dcm").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "link.dcm").symlink_to(tmp_path / "_a.dcm")
+    whole, other = (dicom.load_slices(spark, p) for p in (f"file://{tmp_path}", f"{tmp_path}*"))  # a pattern goes through Spark's reader
+    assert whole.inputFiles() == [] and whole.rdd.getNumPartitions() == other.rdd.getNumPartitions() == 4
+    assert sorted(whole.collect(), key=lambda r: r.path) == sorted(other.collect(), key=lambda r: r.path)
+    bad = [sorted(map(tuple, dicom.unreadable(spark, p).collect())) for p in (str(tmp_path), f"{tmp_path}*")]
+    assert bad[0] == bad[1] and len(bad[0]) == 40
+    assert whole.count() == 362
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        dicom.load_slices(spark, str(tmp_path / "missing"))
